@@ -11,6 +11,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_jaccard_join(spark, sf_dir):
+    from attesta.llm.set_join import jaccard_groups
+
+    return jaccard_groups(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op7_binary_order(spark, sf_dir):
     from attesta.llm.binary_order import materialise
 
