@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from attesta.llm.common import scratch, table
 
 
@@ -29,6 +31,14 @@ def op8_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op10_toxicity(spark, sf_dir):
+    from attesta.llm.toxicity import score, train_rows
+
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return score(docs, train_rows(table(spark, sf_dir, "labels"))).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
