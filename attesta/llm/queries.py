@@ -13,6 +13,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_pii(spark, sf_dir):
+    from attesta.llm.pii import analyse, digest
+
+    return digest(analyse(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_jaccard_join(spark, sf_dir):
     from attesta.llm.set_join import jaccard_groups
 
