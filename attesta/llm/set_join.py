@@ -10,6 +10,7 @@ only those get them. Sets that meet under a key are compared exactly.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,23 +61,19 @@ class Bands:
 
     def __init__(self, percent: int, ratio: float = 1.25):
         self.percent, self.starts = percent, [1]
-        self.ratio = max(ratio, 100 / percent)
+        ratio = max(ratio, 100 / percent)
+        while self.starts[-1] < 1 << 40:
+            self.starts.append(int(self.starts[-1] * ratio) + 1)
 
     def of(self, n: int) -> int:
-        while self.starts[-1] <= n:
-            self.starts.append(int(self.starts[-1] * self.ratio) + 1)
-        return int(np.searchsorted(self.starts, n, side="right")) - 1
+        return bisect_right(self.starts, n) - 1
 
     def segments(self, band: int) -> int:
-        self.of(self.starts[-1])
-        while len(self.starts) < band + 2:
-            self.of(self.starts[-1])
         return (100 - self.percent) * 2 * (self.starts[band + 1] - 1) // (100 + self.percent) + 1
 
     def roles(self, n: int) -> list[int]:
         """Bands whose index a set of n takes part in: its own, and the next if a set there can be linked with it."""
         k = self.of(n)
-        self.segments(k + 1)
         return [k, k + 1] if 100 * n >= self.percent * self.starts[k + 1] else [k]
 
 
