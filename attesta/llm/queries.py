@@ -19,6 +19,13 @@ def op1_pii(spark, sf_dir):
     return digest(analyse(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op2_cover_search(spark, sf_dir):
+    from attesta.llm.cover_search import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op3_licenses(spark, sf_dir):
     from attesta.llm.licenses import scan
 
