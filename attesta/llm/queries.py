@@ -65,6 +65,12 @@ def op8_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op9_chaining(spark, sf_dir):
+    from attesta.llm.chaining import repeats
+
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark, sf_dir):
     from attesta.llm.toxicity import score, train_rows
 
