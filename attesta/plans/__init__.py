@@ -1,9 +1,13 @@
 """Named queries over the tables, each with the SQL that checks it."""
 
+from attesta.plans import retrieval
+
+MODULES = [retrieval]
+
 
 def queries():
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
