@@ -11,9 +11,9 @@ from attesta.functions.text import blocks, strip_tags
 
 
 def html_blocks(pages: DataFrame, tag: str) -> DataFrame:
-    """page_id, at, text of every non-blank <tag>, in order."""
-    own = pages.select("page_id", F.posexplode(blocks(F.col("html"), tag)).alias("at", "raw"))
-    return own.select("page_id", F.col("at").cast("long").alias("at"), strip_tags(F.col("raw")).alias("text")).where("text is not null")
+    """page_id, pos, text of every non-blank <tag>, in order."""
+    own = pages.select("page_id", F.posexplode(blocks(F.col("html"), tag)).alias("pos", "raw"))
+    return own.select("page_id", F.col("pos").cast("long").alias("pos"), strip_tags(F.col("raw")).alias("text")).where("text is not null")
 
 
 def numbered(lines: Column) -> Column:
@@ -37,7 +37,7 @@ def clauses(text: Column) -> Column:
     marks = F.regexp_extract_all(text, F.lit(r"(?m)^\((\d+)\)"), F.lit(1))
     numbers = F.transform(marks, lambda x: x.try_cast("int"))
     parts = F.slice(F.split(text, r"(?m)^\(\d+\)"), F.lit(2), F.greatest(F.size(marks), F.lit(1)))
-    whole = F.transform(F.arrays_zip(numbers.alias("n"), parts.alias("t")), lambda x: F.struct(x["n"].alias("n"), F.trim(x["t"]).alias("text")))
+    whole = F.transform(F.arrays_zip(numbers.alias("n"), parts.alias("t")), lambda x: F.struct(x["n"].alias("n"), F.regexp_replace(x["t"], r"^\s+|\s+$", "").alias("text")))
     return F.when((F.size(marks) >= 2) & (numbers == F.sequence(F.lit(1), F.greatest(F.size(marks), F.lit(1)))), whole)
 
 

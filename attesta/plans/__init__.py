@@ -1,8 +1,8 @@
 """Named queries over the tables, each with the SQL that checks it."""
 
-from attesta.plans import retrieval
+from attesta.plans import extraction, retrieval, review
 
-MODULES = [retrieval]
+MODULES = [retrieval, review, extraction]
 
 
 def queries():
