@@ -8,6 +8,7 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.python.filterPushdown.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
