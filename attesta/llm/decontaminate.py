@@ -45,7 +45,8 @@ def values(text: Column) -> Column:
     named = F.regexp_replace(x, NAME, "$1 §n ")
     units = F.regexp_extract_all(F.lower(named), F.lit(UNIT), F.lit(2))
     numbers = F.regexp_extract_all(F.regexp_replace(F.lower(named), UNIT, "$1 §u $3"), F.lit(NUMBER), F.lit(0))
-    names = F.transform(F.regexp_extract_all(x, F.lit(NAME), F.lit(2)), F.lower)
+    # a word that starts a sentence may stand before a name and seem part of it: the last word counts
+    names = F.transform(F.regexp_extract_all(x, F.lit(NAME), F.lit(2)), lambda n: F.lower(F.regexp_extract(n, r"\p{L}+$", 0)))
     return F.create_map(F.lit("§n"), names, F.lit("§u"), units, F.lit("§d"), numbers)
 
 
