@@ -149,7 +149,7 @@ def analyse(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     both = durable(both, "beside")
     of_entity = found.select(F.explode(F.array_distinct(F.transform("base", lambda s: s["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     words = own.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= 3)
-    of_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(both.select("term").distinct(), "term", "left_semi")
+    of_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(both.select("term").distinct(), "term")
     total = own.agg(F.count(F.lit(1)).cast("double").alias("n")).first()["n"]
     told = both.join(of_entity, "entity").join(of_term, "term")
     own_content = F.log(F.lit(total) / F.col("n_entity"))
