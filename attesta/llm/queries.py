@@ -83,5 +83,49 @@ def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
+OP2_SQL = """WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.e, d.e) AS BIGINT) AS score FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 20"""
+
+OP3_SQL = """WITH RECURSIVE tw AS (SELECT * FROM (VALUES {values}) t(template, license, wording)),
+tl AS (SELECT template, license, list_filter(regexp_split_to_array(lower(wording), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM tw),
+tg AS (SELECT DISTINCT template, license, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT *, unnest(range(1, len(w))) AS i FROM tl)),
+tn AS (SELECT template, count(*) AS n_template FROM tg GROUP BY 1),
+ln AS (SELECT doc_id, unnest(l) AS part, generate_subscripts(l, 1) - 1 AS piece FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+pc AS (SELECT doc_id, piece, part FROM ln UNION ALL SELECT doc_id, -1, text FROM documents WHERE contains(text, chr(10)) AND length(text) <= {longest}),
+pw AS (SELECT doc_id, piece, list_filter(regexp_split_to_array(lower(part), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM pc WHERE length(part) > 3),
+pg AS (SELECT DISTINCT doc_id, piece, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT *, unnest(range(1, len(w))) AS i FROM pw)),
+pn AS (SELECT doc_id, piece, count(*) AS n_piece FROM pg GROUP BY 1, 2),
+sh AS (SELECT doc_id, piece, template, license, count(*) AS n FROM pg JOIN tg USING (gram) GROUP BY ALL),
+dc AS (SELECT doc_id, piece, license, round(2.0 * n / CAST(n_piece + n_template AS DOUBLE), 6) AS dice FROM sh JOIN tn USING (template) JOIN pn USING (doc_id, piece))
+SELECT doc_id, license, count(DISTINCT piece) AS n_pieces, CAST(min(piece) AS BIGINT) AS first_piece, max(dice) AS dice FROM dc WHERE dice >= {least} GROUP BY 1, 2"""
+
+OP4_SQL = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 4)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 3),
+n AS (SELECT w.doc_id, count(s) AS n FROM w LEFT JOIN sg USING (doc_id) GROUP BY 1),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sg a JOIN sg b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM x JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.d WHERE r.c < e.b)
+SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id FROM n JOIN r ON r.d = n.doc_id GROUP BY 1, 2"""
+
+OP6_SQL = """WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (CAST(-1 AS BIGINT), CAST(0 AS BIGINT), 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')) v),
+o AS (SELECT *, row_number() OVER k AS i, coalesce(lag(role) OVER k, 'start') AS before, lead(role) OVER k IS NULL AS last FROM c WINDOW k AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(12 + length(regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<(\\\\*)\\|', '<\\1\\\\|', 'g')) + 1 + length(regexp_replace(text, '<(\\\\*)\\|', '<\\1\\\\|', 'g')) + 11) AS BIGINT) AS formatted_chars,
+  bool_and((before || '>' || role) IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user') AND (NOT last OR role = 'assistant')) AS in_order
+FROM o GROUP BY 1"""
+
+
 def oracle_sql():
-    return {}
+    """SQL for the operators that it can express on the tables: ranks, set similarities, groups and digests."""
+    from attesta.llm.licenses import DICE, TEMPLATES
+
+    quoted = ", ".join(f"({i}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')" for i, (a, b) in enumerate(TEMPLATES))
+    longest = max(len(b.split()) for _, b in TEMPLATES) * 3 * 40
+    licenses = OP3_SQL.format(values=quoted, longest=longest, least=DICE)
+    return {"op2_cover_search": OP2_SQL, "op3_licenses": licenses, "op4_jaccard_join": OP4_SQL, "op6_chat": OP6_SQL}
