@@ -116,3 +116,11 @@ def upper_median(hits: DataFrame) -> DataFrame:
     """The middle rank found, the upper of two."""
     found = F.array_sort(F.collect_list("hit_rank"))
     return hits.agg(F.count("hit_rank").alias("n_found"), F.try_element_at(found, (F.floor(F.size(found) / 2) + 1).cast("int")).alias("median_rank"))
+
+
+def ndcg_at(ranked: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
+    """item_id, ndcg (an extension): gains of 1 for gold, of items with gold."""
+    gain = ranked.where(F.col("rank") <= k).join(gold, ["item_id", "id"], "left_semi").groupBy("item_id").agg(F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
+    n = gold.groupBy("item_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
+    return n.join(gain, "item_id", "left").select("item_id", F.round(F.coalesce("dcg", F.lit(0.0)) / ideal, 6).alias("ndcg"))
