@@ -128,6 +128,8 @@ def materialise(
         return pa.table([table["slot"], table["shard"], pa.array(at), table["n_tokens"], pa.array(crc, type=pa.int64()), table["doc_ids"]], names=["slot", "shard", "byte_offset", "n_tokens", "ids_crc32", "doc_ids"])
 
     spark.createDataFrame([(total, stride, length, kind, shard_sequences, key)], "sequences long, stride long, length long, kind string, shard_sequences long, key string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+    # a row per input partition; past a million of them Spark joins by shuffle
+    before = F.broadcast(before) if counts.count() <= 1_000_000 else before
     placed = made.join(before, "part").select(slot(F.col("before") + F.col("idx")).alias("slot"), "n_tokens", "ids", "doc_ids")
     return placed.withColumn("shard", F.floor(F.col("slot") / shard_sequences)).groupBy("shard").applyInArrow(
         write, "slot long, shard long, byte_offset long, n_tokens long, ids_crc32 long, doc_ids array<long>"
