@@ -17,11 +17,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from attesta.llm.common import connected_components, durable
+from attesta.llm.common import arrow_rows, connected_components, durable
 
 _WORDS: dict[bytes, int] = {}
+#: Sets that share a least set and are paired with each other; more of them go by prefixes.
+FEW = 8
+#: Sets, or texts, that a Python function holds at a time.
+ROWS = 500
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,7 +43,7 @@ def shingles(text: bytes, width: int) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     if len(found) < width:
         return np.asarray([xxhash.xxh3_64_intdigest(b" ".join(found), seed=len(found))], dtype=np.uint64)
-    if len(_WORDS) > 1_000_000:
+    if len(_WORDS) > 200_000:
         _WORDS.clear()
     get, ids = _WORDS.get, None
     ids = [get(w) for w in found]
@@ -215,22 +219,25 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, ids binary")
 
 
-def _linked(percent: int):
-    @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            if 100 * min(x.size, y.size) < percent * max(x.size, y.size):
-                out.append(False)
-                continue
-            both = np.concatenate((x, y))
-            both.sort(kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            out.append(100 * common >= percent * (x.size + y.size - common))
-        return pd.Series(out, dtype=bool)
+def _common(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Number of elements that two sets share."""
+    out = []
+    for x, y in zip(a, b):
+        both = np.concatenate((np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)))
+        both.sort(kind="stable")
+        out.append(int((both[1:] == both[:-1]).sum()))
+    return pd.Series(out, dtype="int64")
+
 
-    return linked
+def _difference(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Elements of one set but not of both."""
+    out = []
+    for x, y in zip(a, b):
+        both = np.concatenate((np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64)))
+        both.sort()
+        new = np.concatenate(([True], both[1:] != both[:-1], [True]))
+        out.append(both[new[1:] & new[:-1]])
+    return pd.Series(out)
 
 
 class Join:
@@ -240,7 +247,8 @@ class Join:
 
     def __init__(self, docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"):
         own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        self.profile = durable(profile(own, width, percent), "profile")
+        with arrow_rows(own.sparkSession, ROWS):
+            self.profile = durable(profile(own, width, percent), "profile")
         deep = self._allocation()
         meets = durable(shared(index(own, width, percent, deep)), "shared")
         pairs = meets.select(F.col("first").alias("a"), F.col("node").alias("b")).union(meets.select(F.col("last").alias("a"), F.col("node").alias("b")))
@@ -250,14 +258,22 @@ class Join:
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         chosen = speaks.join(ends, "node").select("doc_id", "node")
         held = sets(own.join(chosen.select("doc_id").distinct(), "doc_id").select("doc_id", "text"), width)
-        self.sets = durable(held.join(chosen.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
+        with arrow_rows(own.sparkSession, ROWS):
+            self.sets = durable(held.join(chosen.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
         self.percent = percent
-        links = self._verify(pairs)
+        compared = self._compare(pairs)
+        links = self._linked(compared)
         components = connected_components(links)
-        rest = self._across(meets, components, pairs)
-        more = self._verify(rest)
-        self.links = durable(links.union(more), "links")
-        self.components = connected_components(self.links) if not more.isEmpty() else components
+        prefixes, more = self._differences(meets, components, compared)
+        more = self._linked(self._compare(durable(self._unseen(more, pairs), "near")))
+        if not more.isEmpty():
+            links = durable(links.union(more), "links")
+            components = connected_components(links)
+        rest = self._linked(self._compare(durable(self._unseen(self._across(prefixes, components), pairs), "rest")))
+        if not rest.isEmpty():
+            links = durable(links.union(rest), "links")
+            components = connected_components(links)
+        self.links, self.components = links, components
 
     def _allocation(self) -> dict[int, int]:
         """Per band the leading segments with deletion neighbourhoods; a row per band, of which a text's length allows
@@ -266,22 +282,83 @@ class Join:
         up = self.profile.where("need1 is not null").select((F.col("band") + 1).alias("band"), F.col("need1").alias("need"))
         return {r["band"]: r["need"] for r in own.union(up).groupBy("band").agg(F.max("need").alias("need")).collect()}
 
-    def _verify(self, pairs: DataFrame) -> DataFrame:
+    def _compare(self, pairs: DataFrame) -> DataFrame:
+        """a, b, na, nb, common: pairs of sets with their sizes and what they share."""
         a = self.sets.select(F.col("node").alias("a"), F.col("ids").alias("ids_a"))
         b = self.sets.select(F.col("node").alias("b"), F.col("ids").alias("ids_b"))
-        found = pairs.join(a, "a").join(b, "b").where(_linked(self.percent)("ids_a", "ids_b"))
-        return durable(found.select("a", "b"), "verified")
-
-    def _across(self, meets: DataFrame, components: DataFrame, done: DataFrame) -> DataFrame:
-        """Pairs under a key whose groups still differ, without those compared already."""
-        size = self.profile.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"))
-        at = meets.select("key", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        at = durable(at.join(mixed, "key", "left_semi").join(size, "node"), "mixed")
-        x, y = at.toDF("a", "key", "ca", "na"), at.toDF("b", "key", "cb", "nb")
-        near = f"a < b and ca <> cb and 100 * least(na, nb) >= {self.percent} * greatest(na, nb)"
-        both = x.join(y, "key").where(near).select("a", "b").distinct()
-        return durable(both.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
+        both = pairs.join(a, "a").join(b, "b").withColumn("common", F.pandas_udf(_common, "long")("ids_a", "ids_b"))
+        size = lambda c: (F.octet_length(c) / 8).cast("long")
+        with arrow_rows(pairs.sparkSession, ROWS):
+            return durable(both.select("a", "b", size("ids_a").alias("na"), size("ids_b").alias("nb"), "common"), "compared")
+
+    def _linked(self, compared: DataFrame) -> DataFrame:
+        return compared.where(f"100 * common >= {self.percent} * (na + nb - common)").select("a", "b")
+
+    @staticmethod
+    def _unseen(pairs: DataFrame, done: DataFrame) -> DataFrame:
+        return pairs.distinct().join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+
+    def _differences(self, meets: DataFrame, components: DataFrame, compared: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Where sets that share a key aren't in one group yet: (prefixes, pairs to compare).
+
+        Sets were compared with the least set p of their key. Up to FEW sets with the same p are paired with each other,
+        if their differences from p are near enough in size. Of more, prefixes of the differences are returned (see
+        `_across`), and pairs of each with the most central one, whose difference holds the fewest elements of its
+        own: what can be linked is mostly linked with it.
+        """
+        t = self.percent
+        members = meets.select(F.col("first").alias("p"), F.col("node").alias("x")).where("p <> x").distinct()
+        members = members.join(components.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+        mixed = members.groupBy("p").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("p", "k")
+        known = compared.select(F.col("a").alias("p"), F.col("b").alias("x"), F.col("na").alias("np"), F.col("nb").alias("nx"), (F.col("na") + F.col("nb") - 2 * F.col("common")).alias("a"))
+        members = durable(members.join(mixed, "p").join(known, ["p", "x"]), "members")
+
+        few = members.where(f"k <= {FEW}").select("p", "x", "component", "nx", "a")
+        near = few.join(few.toDF("p", "y", "cy", "ny", "b"), "p").where(f"x < y and component <> cy and 100 * least(nx, ny) >= {t} * greatest(nx, ny) and abs(a - b) <= {100 - t} * (nx + ny) / {100 + t}")
+        near = near.select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+        most = F.floor((100 - t) * (F.col("nx") + F.floor(F.col("nx") * 100 / t)) / (100 + t))
+        from_p = F.floor((100 - t) * (F.col("nx") + F.col("np")) / (100 + t))
+        least = F.floor((100 - t) * (F.ceil(F.col("nx") * t / 100) + F.col("np")) / (100 + t))
+        own = members.where(f"k > {FEW}").withColumn("apart", F.col("a") > from_p)
+        # the other's difference is at least a - H in size, and `least` + 1 if this one is linked with p
+        agree = F.greatest(F.ceil((F.col("a") + least + 1 - most) / 2), F.col("a") - most, F.lit(1))
+        own = own.withColumn("short", F.col("a") - agree + 1).withColumn("long", F.when(F.col("apart"), F.least(F.col("a"), most + 1)).otherwise(0))
+        own = own.withColumn("member", F.xxhash64("p", "x"))
+        a = self.sets.select(F.col("node").alias("p"), F.col("ids").alias("ids_p"))
+        b = self.sets.select(F.col("node").alias("x"), F.col("ids").alias("ids_x"))
+        differs = own.join(a, "p").join(b, "x").select("p", "member", F.pandas_udf(_difference, "array<long>")("ids_p", "ids_x").alias("differs"))
+        each = differs.select("member", F.explode(F.transform("differs", lambda e: F.xxhash64("p", e))).alias("e"))
+        each = each.withColumn("n_e", F.count(F.lit(1)).over(Window.partitionBy("e"))).where("n_e > 1")
+        each = each.join(own, "member")
+        w = Window.partitionBy("member")
+        # elements that no other difference has come first and are left out
+        each = each.withColumn("alone", F.col("a") - F.count(F.lit(1)).over(w)).withColumn("place", F.col("alone") + F.row_number().over(w.orderBy("n_e", "e")))
+        with arrow_rows(meets.sparkSession, ROWS):
+            each = durable(each.where("place <= greatest(short, long) or place = alone + 1").select("p", "e", "x", "nx", "a", "alone", "place", "short", "long"), "prefixes")
+        heart = each.groupBy("p").agg(F.min(F.struct("alone", "x"))["x"].alias("q"))
+        grouped = own.select("p", "x", "component")
+        q = heart.join(grouped.select("p", F.col("x").alias("q"), F.col("component").alias("cq")), ["p", "q"])
+        central = grouped.join(q, "p").where("component <> cq").select(F.least("x", "q").alias("a"), F.greatest("x", "q").alias("b"))
+        return each, near.union(central)
+
+    def _across(self, prefixes: DataFrame, components: DataFrame) -> DataFrame:
+        """Pairs that may be linked though neither is the least set of a key that they share and their groups differ.
+
+        Such x and y were both compared with that least set p. With a(x) the size of x's difference from p, the two
+        differ by a(x) + a(y) less twice what their differences share. If they are in two groups, one of them, x, isn't
+        linked with p, so that their differences must share much: x all but H of its own, y about half (H: how far
+        linked sets of that size can differ). A prefix of each difference, rarest elements first, meets the other's
+        if they share that much, and only such pairs go on.
+        """
+        t = self.percent
+        each = prefixes.join(components.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+        far = each.where("place <= long").select("p", "e", F.col("x").alias("y"), F.col("component").alias("cy"), F.col("nx").alias("ny"), F.col("a").alias("ay"), F.col("place").alias("place_y"))
+        near = each.where("place <= short").select("p", "e", "x", "component", "nx", "a", "place")
+        # from the first element that two differences share on, each must have enough left
+        enough = f"2 * (1 + least(a - place, ay - place_y)) >= a + ay - floor({100 - t} * (nx + ny) / {100 + t})"
+        both = near.join(far.drop("p"), "e").where(f"x <> y and component <> cy and 100 * least(nx, ny) >= {t} * greatest(nx, ny) and {enough}")
+        return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
     def groups(self) -> DataFrame:
         """doc_id, n_shingles, component_id for every document: the smallest id that links reach."""
