@@ -72,15 +72,22 @@ def skeleton(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-def align(left: DataFrame, right: DataFrame, *, least: float = 0.86, high: float = 0.97, reach: int = 30) -> DataFrame:
+def align(left: DataFrame, right: DataFrame, *, least: float = 0.86, high: float = 0.97) -> DataFrame:
     """group, l, r, ratio, confidence: pairs of lines (group, ord, text) of two editions in the same order.
 
     Lines whose skeletons occur once on both sides are anchors, kept where they rise; between anchors each line takes
-    the most similar free line of the next `reach`. A group is aligned as a whole.
+    the most similar free line up to the next anchor. A group is aligned as a whole.
     """
     def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         from difflib import SequenceMatcher
 
+        def ratio(s: str, t: str, floor: float) -> float:
+            """0 where an upper bound shows that the ratio is under `floor`."""
+            if not s or not t or 2.0 * min(len(s), len(t)) / (len(s) + len(t)) < floor:
+                return 0.0
+            m = SequenceMatcher(None, s, t)
+            return m.ratio() if m.quick_ratio() >= floor else 0.0
+
         a, b = a.sort_values("ord"), b.sort_values("ord")
         sa, sb = skeleton(a["text"]).tolist(), skeleton(b["text"]).tolist()
         once = {s: i for i, s in enumerate(sb) if sb.count(s) == 1 and s} if len(sb) < 400 else {s: sb.index(s) for s, n in pd.Series(sb).value_counts().items() if n == 1 and s}
@@ -97,9 +104,12 @@ def align(left: DataFrame, right: DataFrame, *, least: float = 0.86, high: float
                 j, best = anchors[i], 1.0
             else:
                 stop = next((y for x, y in ahead if x > i), len(sb))
-                tried = [(SequenceMatcher(None, s, sb[j]).ratio() if s and sb[j] else 0.0, -j) for j in range(at, min(stop, at + reach))]
-                best, j = max(tried, default=(0.0, 0))
-                j = -j
+                best, j = 0.0, at
+                for t in range(at, stop):
+                    if (found := ratio(s, sb[t], max(least, best))) > best:
+                        best, j = found, t
+                    if best == 1.0:
+                        break
             if best >= least:
                 out.append((*key, int(a["ord"].iloc[i]), int(b["ord"].iloc[j]), round(best, 6), "high" if best >= high else "medium"))
                 at = j + 1

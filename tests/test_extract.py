@@ -38,6 +38,13 @@ def test_align(spark):
     assert [(r["l"], r["r"]) for r in got] == [(0, 0), (1, 1), (2, 3)] and got[0]["ratio"] >= 0.86
 
 
+def test_align_over_a_long_gap(spark):
+    lines = lambda texts: spark.createDataFrame([("g", i, t) for i, t in enumerate(texts)], "group string, ord long, text string")
+    extra = ["zq" * (i % 5 + 1) + "wxyv" * (i % 7 + 1) for i in range(45)]
+    got = extract.align(lines(["dharmakshetre", "kurukshetre samaveta", "pandavas caiva"]), lines(["dharmakshetre", *extra, "kurukshetre samavetaa", "pandavas caiva"])).orderBy("l").collect()
+    assert [(r["l"], r["r"]) for r in got] == [(0, 0), (1, 46), (2, 47)]
+
+
 def test_rules(spark):
     schema = "item_id string, question string, question_type string, ambiguity string, gold array<string>, near_miss array<string>, must_abstain boolean, answerable boolean, abstain_reason string"
     rows = [
