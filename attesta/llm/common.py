@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +27,16 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, read from the session. Only where it is unset, as in tests
-    on one machine, a temporary folder takes its place until the process ends."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder every executor sees: spark.checkpoint.dir, read from the session, or the folder given to
+    setCheckpointDir. Only where both are unset and all runs on one machine, as in tests, a temporary folder takes
+    their place until the process ends; on a cluster its files would be lost, so that this is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        master = spark.sparkContext.master
+        if not re.match(r"local($|\[)", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
+        path = _own_dir()
+    return path.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -35,25 +44,46 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage is cut, the files outlive any executor."""
+    """Writes df to the shared folder and reads it again: lineage is cut, the files outlive any executor, and the
+    shuffle files behind them go at once instead of when the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the folders of durable tables whose last reader has been written."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """Within, Python functions get at most so many rows at a time: their columns may be as long as a text."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, key: str, value: str):
+    """Within, the session has this setting."""
     before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def arrow_rows(spark: SparkSession, rows: int):
+    """Within, Python functions get at most so many rows at a time: their columns may be as long as a text."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(a, b) links, either order -> (node, component): component is the smallest node reachable.
 
@@ -84,13 +114,16 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     e = durable(e, name)
     seen = mark(e)
     while seen[0]:
-        e = durable(star(star(e, True), False), name)
+        before, e = e, durable(star(star(e, True), False), name)
+        release(before)
         now = mark(e)
         if now == seen:
             break
         seen = now
     roots = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots).distinct()
+    out = durable(e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots).distinct(), name)
+    release(e)
+    return out
 
 
 def binary_path(path: str) -> tuple:

@@ -1,15 +1,20 @@
 """Exact Jaccard join of documents' word-shingle sets, and the groups that its links make.
 
-Sets fall into size bands. In a band, a hash deals the universe of shingles into m segments, one more than the
+Sets fall into size bands. In a band, a hash deals the universe of shingles into m = h + c + s segments, h being the
 largest symmetric difference that two linked sets of that band can have, so that two linked sets agree wholly on at
-least one segment (pigeonhole). A set indexes the hash of its part of each segment. Empty parts agree with far too
-many sets, so the allocation takes their share away and gives it to other segments, which then also match after one
-deletion; how many leading segments need such deletion neighbourhoods is counted for each band over all sets, and
-only those get them. Sets that meet under a key are compared exactly.
+least c + s segments (pigeonhole). A set indexes the hash of its part of each segment that isn't empty: empty parts
+agree with far too many sets. If one of two linked sets has at most s empty segments, they share c such keys. Sets with
+more of them also index one-deletion neighbourhoods in leading segments, enough to make up for the empty ones.
+
+The allocation is by cost. s is chosen by the keys that a band's sets can be expected to have; how many leading
+segments need neighbourhoods is counted over all sets; and as linked sets share c keys, each set leaves out the c - 1
+of its keys that most sets have, such as those within a passage that many documents quote: what two linked sets share
+besides still brings them together. Sets that meet under a key are compared exactly.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -19,13 +24,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from attesta.llm.common import arrow_rows, connected_components, durable
+from attesta.llm.common import arrow_rows, connected_components, durable, release
 
 _WORDS: dict[bytes, int] = {}
 #: Sets that share a least set and are paired with each other; more of them go by prefixes.
-FEW = 8
+FEW = 4
 #: Sets, or texts, that a Python function holds at a time.
 ROWS = 500
+#: Share of a set's size that its spare keys make up: c - 1 of them.
+SPARE = 1 / 16
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,17 +70,30 @@ def shingles(text: bytes, width: int) -> np.ndarray:
 class Bands:
     """Sizes from low to high belong to band k; linked sets lie in one band or in neighbours."""
 
-    def __init__(self, percent: int, ratio: float = 1.25):
+    def __init__(self, percent: int, ratio: float = 1.6):
         self.percent, self.starts = percent, [1]
         ratio = max(ratio, 100 / percent)
         while self.starts[-1] < 1 << 40:
             self.starts.append(int(self.starts[-1] * ratio) + 1)
+        self._layout: dict[int, tuple[int, int, int]] = {}
 
     def of(self, n: int) -> int:
         return bisect_right(self.starts, n) - 1
 
-    def segments(self, band: int) -> int:
-        return (100 - self.percent) * 2 * (self.starts[band + 1] - 1) // (100 + self.percent) + 1
+    def layout(self, band: int) -> tuple[int, int, int]:
+        """(segments m, keys c that linked sets share, empty segments s that a set may have without deletion
+        neighbourhoods) of a band's index."""
+        if band not in self._layout:
+            low, high = -(-self.percent * self.starts[band] // 100), self.starts[band + 1] - 1
+            h = (100 - self.percent) * 2 * high // (100 + self.percent)
+            c = 1 + int(low * SPARE)
+            sizes = [max(1, round(low * (high / low) ** (i / 4))) for i in range(5)]
+            costs: list[float] = []
+            while len(costs) < 3 or min(costs) > costs[-1] - 0.02 * min(costs) and len(costs) < h + 4:
+                costs.append(sum(_expected(n, h + c + len(costs), len(costs)) for n in sizes))
+            s = min(range(len(costs)), key=costs.__getitem__)
+            self._layout[band] = h + c + s, c, s
+        return self._layout[band]
 
     def roles(self, n: int) -> list[int]:
         """Bands whose index a set of n takes part in: its own, and the next if a set there can be linked with it."""
@@ -81,35 +101,54 @@ class Bands:
         return [k, k + 1] if 100 * n >= self.percent * self.starts[k + 1] else [k]
 
 
+def _expected(n: int, m: int, s: int) -> float:
+    """Keys to expect of a set of n in m segments: its parts, and neighbourhoods if over s of them are empty."""
+    if m == 1:
+        return 1.0
+    none = m * math.exp(n * math.log1p(-1 / m))
+    two = m * (m - 1) * (math.exp(n * math.log1p(-2 / m)) if m > 2 else 0.0)
+    spread = math.sqrt(max(none + two - none * none, 1e-9))
+    over = 0.5 * math.erfc((s + 0.5 - none) / spread / math.sqrt(2))
+    return m - none + over * n
+
+
+def _seed(band: int) -> np.uint64:
+    return np.uint64((band + 1) * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF)
+
+
 def _parts(ids: np.ndarray, band: int, m: int):
-    """Segment and value of each shingle; count and summed value of each segment."""
-    seed = np.uint64((band + 1) * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF)
-    value = _mix(ids ^ seed)
+    """Value and segment of each shingle; number of shingles in each segment."""
+    value = _mix(ids ^ _seed(band))
     segment = ((value >> np.uint64(40)) % np.uint64(m)).astype(np.int64)
-    count = np.bincount(segment, minlength=m)
-    low = np.bincount(segment, weights=(value & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=m).astype(np.uint64)
-    high = np.bincount(segment, weights=(value >> np.uint64(32)).astype(np.float64), minlength=m).astype(np.uint64)
-    return value, segment, count, (high << np.uint64(32)) + low
+    return value, segment, np.bincount(segment, minlength=m)
 
 
-def needed(ids: np.ndarray, band: int, m: int) -> int:
+def needed(ids: np.ndarray, band: int, m: int, c: int, s: int) -> int:
     """Leading segments that must have deletion neighbourhoods for this set's allocation to hold; m + 1 if there
     aren't enough segments to make up for its empty ones."""
-    count = np.bincount(((_mix(ids ^ np.uint64((band + 1) * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(40)) % np.uint64(m)).astype(np.int64), minlength=m)
+    if m == 1:
+        return 0
+    count = _parts(ids, band, m)[2]
     empty = int((count == 0).sum())
-    if not empty:
+    if empty <= s:
         return 0
+    missing = empty - s + c - 1  # of c - 1 segments that agree, each may take the place of one that differs by two
     wide = np.flatnonzero(count >= 2)
-    return int(wide[empty - 1]) + 1 if wide.size >= empty else m + 1
+    return int(wide[missing - 1]) + 1 if wide.size >= missing else m + 1
 
 
-def keys(ids: np.ndarray, band: int, m: int, deep: int) -> np.ndarray:
-    """Index keys of a set in a band: each segment's part, and its one-deletion neighbours in the first `deep`
-    segments. deep = m + 1: empty parts are keys as well."""
-    value, segment, count, total = _parts(ids, band, m)
+def keys(ids: np.ndarray, band: int, m: int, c: int, s: int, deep: int) -> np.ndarray:
+    """Index keys of a set in a band: its parts, and for a set with over s empty segments also the one-deletion
+    neighbours of the first `deep` segments. deep = m + 1: its empty parts are keys as well."""
+    value, segment, count = _parts(ids, band, m)
+    low = np.bincount(segment, weights=(value & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=m).astype(np.uint64)
+    high = np.bincount(segment, weights=(value >> np.uint64(32)).astype(np.float64), minlength=m).astype(np.uint64)
+    total = (high << np.uint64(32)) + low
     own = np.uint64((band + 1) * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF)
     tag = np.arange(m, dtype=np.uint64) * _C + own
     out = _mix(total + _mix(tag))
+    if int((count == 0).sum()) <= s:
+        return out[count > 0]
     out = out if deep > m else out[count > 0]
     if deep:
         at = np.flatnonzero((segment < deep) & (count[segment] > 1))
@@ -117,8 +156,10 @@ def keys(ids: np.ndarray, band: int, m: int, deep: int) -> np.ndarray:
     return out
 
 
-def _node(ids: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(ids.tobytes()) - (1 << 63)
+def _node(ids: np.ndarray) -> tuple[int, int]:
+    """The two halves of a set's 128-bit hash."""
+    both = xxhash.xxh3_128_intdigest(ids.tobytes())
+    return (both & (1 << 64) - 1) - (1 << 63), (both >> 64) - (1 << 63)
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -126,7 +167,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def profile(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set, null if empty), band, need0 and need1 (see `needed`)."""
+    """doc_id, mark, n_shingles, node and check (hash of the set, null if empty), band, need0 and need1 (see `needed`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -136,52 +177,72 @@ def profile(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 for x in _texts(batch):
                     ids = shingles(x, width)
                     if not ids.size:
-                        rows.append((0, None, None, None, None))
+                        rows.append((0, None, None, None, None, None))
                         continue
-                    need = [needed(ids, k, bands.segments(k)) for k in bands.roles(ids.size)]
-                    rows.append((ids.size, _node(ids), bands.of(ids.size), need[0], need[1] if len(need) > 1 else None))
-            columns = [pa.array([r[i] for r in rows], type=t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_shingles", "node", "band", "need0", "need1"])
+                    need = [needed(ids, k, *bands.layout(k)) for k in bands.roles(ids.size)]
+                    rows.append((ids.size, *_node(ids), bands.of(ids.size), need[0], need[1] if len(need) > 1 else None))
+            columns = [pa.array([r[i] for r in rows], type=t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *columns], names=["doc_id", "mark", "n_shingles", "node", "check", "band", "need0", "need1"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, band int, need0 int, need1 int")
+    return docs.mapInArrow(run, "doc_id long, mark long, n_shingles long, node long, check long, band int, need0 int, need1 int")
 
 
 def index(docs: DataFrame, width: int, percent: int, deep: dict[int, int]) -> DataFrame:
-    """(key, node) of every set; a set that comes again in the same partition is indexed once."""
+    """(key, node, band) of every set; a set that comes again in the same partition is indexed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
         for batch in batches:
-            found, nodes, held = [], [], 0
+            found, nodes, roles, held = [], [], [], 0
             with np.errstate(over="ignore"):
                 for x in _texts(batch):
                     ids = shingles(x, width)
-                    if not ids.size or (node := _node(ids)) in seen:
+                    if not ids.size or (node := _node(ids)[0]) in seen:
                         continue
                     seen.add(node)
                     for k in bands.roles(ids.size):
-                        own = keys(ids, k, bands.segments(k), deep.get(k, 0))
+                        own = keys(ids, k, *bands.layout(k), deep.get(k, 0))
                         found.append(own.view(np.int64))
                         nodes.append(np.full(own.size, node, dtype=np.int64))
+                        roles.append(np.full(own.size, k, dtype=np.int32))
                         held += own.size
                     if held > 200_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(nodes))], names=["key", "node"])
-                        found, nodes, held = [], [], 0
+                        yield out(found, nodes, roles)
+                        found, nodes, roles, held = [], [], [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+                yield out(found, nodes, roles)
+
+    def out(*columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["key", "node", "band"])
 
-    return docs.mapInArrow(run, "key long, node long")
+    return docs.mapInArrow(run, "key long, node long, band int")
 
 
 def shared(indexed: DataFrame) -> DataFrame:
-    """Rows of keys that several sets have: key, node, first (least node of the key), last (the one before in order).
+    """key, node, band, n: keys that several sets have, with their number of rows. Spark keeps a key's rows on disk where
+    they are many."""
+    w = Window.partitionBy("key")
+    own = indexed.withColumns({"n": F.count(F.lit(1)).over(w), "lo": F.min("node").over(w), "hi": F.max("node").over(w)})
+    return own.where("lo < hi").drop("lo", "hi")
+
+
+def rarest(rows: DataFrame, spare: dict[int, int]) -> DataFrame:
+    """key, node: without the keys of each set and band that most sets have, as many as linked sets share besides."""
+    most = F.dense_rank().over(Window.partitionBy("node", "band").orderBy(F.desc("n"), "key"))
+    left = F.element_at(F.create_map(*[F.lit(x) for kv in spare.items() for x in kv]), F.col("band"))
+    return rows.withColumn("at", most).where(F.col("at") > left).select("key", "node")
+
+
+def meetings(indexed: DataFrame) -> DataFrame:
+    """a, b, star: under each key that several sets have, every set b with the least one a (star), and with the one
+    before it in order.
 
     Rows arrive sorted and stream through; what is held between batches is one row, however many a key has.
     """
-    names = ["key", "node", "first", "last"]
+    names = ["a", "b", "star"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # key, least node, node of the last row, and whether that row is the only one of its key so far
+        held = None  # key, its least node, and the node of the last row
         for batch in batches:
             key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if held is not None:
@@ -194,17 +255,19 @@ def shared(indexed: DataFrame) -> DataFrame:
             first = node[np.maximum.accumulate(np.where(new, np.arange(key.size), 0))]
             if held is not None:
                 first[: np.argmax(new[1:]) + 1 if new[1:].any() else key.size] = held[1]
-            followed = np.concatenate((~new[1:], [False]))
-            if held is not None and not held[3]:
-                followed[0] = False  # it was given out before
-            at = np.flatnonzero(~new | new & followed)
+            at = np.flatnonzero(~new)
             if at.size:
-                last = np.where(new, first, np.concatenate((node[:1], node[:-1])))
-                yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (key, node, first, last)], names=names)
-            alone = bool(new[-1]) if key.size > 1 or held is None else held[3]
-            held = (key[-1], first[-1], node[-1], alone)
+                least, last, own = first[at], node[at - 1], node[at]
+                apart = least != last
+                pairs = np.concatenate((least, last[apart])), np.concatenate((own, own[apart]))
+                # near copies meet under many keys: what a batch repeats is given out once
+                order = np.lexsort(pairs)
+                x, y, star = pairs[0][order], pairs[1][order], order < at.size
+                begin = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+                yield pa.RecordBatch.from_arrays([pa.array(x[begin]), pa.array(y[begin]), pa.array(np.logical_or.reduceat(star, begin))], names=names)
+            held = (key[-1], first[-1], node[-1])
 
-    return indexed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long, first long, last long")
+    return indexed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long, star boolean")
 
 
 def sets(docs: DataFrame, width: int) -> DataFrame:
@@ -214,7 +277,7 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             with np.errstate(over="ignore"):
                 found = [shingles(x, width) for x in _texts(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in found], type=pa.int64()), pa.array([x.tobytes() for x in found], type=pa.binary())], names=["node", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([_node(x)[0] for x in found], type=pa.int64()), pa.array([x.tobytes() for x in found], type=pa.binary())], names=["node", "ids"])
 
     return docs.mapInArrow(run, "node long, ids binary")
 
@@ -241,18 +304,23 @@ def _difference(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 class Join:
-    """The join's tables. profile: doc_id, n_shingles, node. links: a, b, pairs of nodes (classes of equal sets) that
-    were found linked. components: node, component for nodes with links. Together they make the groups of all links:
-    pairs of classes that other links already join are not compared."""
+    """The join's tables. profile: doc_id, mark (hash of the text), n_shingles, node, check. links: a, b, pairs of nodes (classes of equal sets)
+    that were found linked. components: node, component for nodes with links. Together they make the groups of all
+    links: pairs of classes that other links already join are not compared."""
 
     def __init__(self, docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"):
-        own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        text = F.col(text_col).cast("string")
+        own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
         with arrow_rows(own.sparkSession, ROWS):
             self.profile = durable(profile(own, width, percent), "profile")
-        deep = self._allocation()
-        meets = durable(shared(index(own, width, percent, deep)), "shared")
-        pairs = meets.select(F.col("first").alias("a"), F.col("node").alias("b")).union(meets.select(F.col("last").alias("a"), F.col("node").alias("b")))
-        pairs = durable(pairs.where("a <> b").distinct(), "pairs")
+            deep = self._allocation()
+            common = durable(shared(index(own, width, percent, deep)), "shared")
+            few = durable(rarest(common, {k: Bands(percent).layout(k)[1] - 1 for k in deep}) if deep else common, "rarest")
+            pairs = durable(meetings(few).groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
+        release(common, few)
+        sizes = self.profile.where("node is not null").groupBy("node").agg(F.min("n_shingles").alias("n"))
+        near = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        near = durable(near.select("a", "b", "star"), "near")
         # a class's set is taken from one of its documents
         speaks = self.profile.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
@@ -260,20 +328,43 @@ class Join:
         held = sets(own.join(chosen.select("doc_id").distinct(), "doc_id").select("doc_id", "text"), width)
         with arrow_rows(own.sparkSession, ROWS):
             self.sets = durable(held.join(chosen.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
-        self.percent = percent
-        compared = self._compare(pairs)
-        links = self._linked(compared)
-        components = connected_components(links)
-        prefixes, more = self._differences(meets, components, compared)
-        more = self._linked(self._compare(durable(self._unseen(more, pairs), "near")))
-        if not more.isEmpty():
-            links = durable(links.union(more), "links")
-            components = connected_components(links)
-        rest = self._linked(self._compare(durable(self._unseen(self._across(prefixes, components), pairs), "rest")))
-        if not rest.isEmpty():
-            links = durable(links.union(rest), "links")
-            components = connected_components(links)
-        self.links, self.components = links, components
+        self.percent, self.links, self.components = percent, None, None
+
+        # each set with one other first: in groups of copies that leaves little to compare
+        first = self._compare(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        self._tie(first)
+        rest = self._compare(self._apart(near.join(first, ["a", "b"], "left_anti")).select("a", "b"))
+        self._tie(rest)
+        members, more = self._members(pairs, sizes)
+        apart = members.where(f"k > {FEW}").select(F.col("p").alias("a"), F.col("x").alias("b"))
+        known = first.union(rest)
+        spare = self._compare(apart.join(known, ["a", "b"], "left_anti"))
+        prefixes, central = self._differences(members, known.union(spare))
+        near_by = self._compare(self._unseen(more.union(central), near))
+        self._tie(near_by)
+        across = self._compare(self._unseen(self._across(prefixes), near))
+        self._tie(across)
+        release(self.sets, near, pairs, first, rest, members, spare, prefixes, near_by, across)
+
+    def _tie(self, compared: DataFrame) -> None:
+        """Adds the links among compared pairs, and joins the groups anew."""
+        found = self._linked(compared)
+        if self.links is None:
+            self.links = durable(found, "links")
+        elif found.isEmpty():
+            return
+        else:
+            before, self.links = self.links, durable(self.links.union(found), "links")
+            release(before)
+        if self.components is not None:
+            release(self.components)
+        self.components = connected_components(self.links)
+
+    def _apart(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that aren't in one group."""
+        c = self.components
+        out = pairs.join(c.toDF("a", "ca"), "a", "left").join(c.toDF("b", "cb"), "b", "left")
+        return out.where("coalesce(ca, a) <> coalesce(cb, b)").drop("ca", "cb")
 
     def _allocation(self) -> dict[int, int]:
         """Per band the leading segments with deletion neighbourhoods; a row per band, of which a text's length allows
@@ -298,29 +389,33 @@ class Join:
     def _unseen(pairs: DataFrame, done: DataFrame) -> DataFrame:
         return pairs.distinct().join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
-    def _differences(self, meets: DataFrame, components: DataFrame, compared: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Where sets that share a key aren't in one group yet: (prefixes, pairs to compare).
-
-        Sets were compared with the least set p of their key. Up to FEW sets with the same p are paired with each other,
-        if their differences from p are near enough in size. Of more, prefixes of the differences are returned (see
-        `_across`), and pairs of each with the most central one, whose difference holds the fewest elements of its
-        own: what can be linked is mostly linked with it.
-        """
+    def _members(self, pairs: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Where sets that share a key aren't in one group yet: (p, x, component, nx, k of all sets x with the least set p
+        of such keys, pairs to compare). Up to FEW sets with the same p are paired with each other."""
         t = self.percent
-        members = meets.select(F.col("first").alias("p"), F.col("node").alias("x")).where("p <> x").distinct()
-        members = members.join(components.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+        members = pairs.where("star").select(F.col("a").alias("p"), F.col("b").alias("x"))
+        members = members.join(self.components.toDF("x", "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
         mixed = members.groupBy("p").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("p", "k")
-        known = compared.select(F.col("a").alias("p"), F.col("b").alias("x"), F.col("na").alias("np"), F.col("nb").alias("nx"), (F.col("na") + F.col("nb") - 2 * F.col("common")).alias("a"))
-        members = durable(members.join(mixed, "p").join(known, ["p", "x"]), "members")
+        members = durable(members.join(mixed, "p").join(sizes.toDF("x", "nx"), "x").select("p", "x", "component", "nx", "k"), "members")
+        few = members.where(f"k <= {FEW}").drop("k")
+        near = few.join(few.toDF("p", "y", "cy", "ny"), "p").where(f"x < y and component <> cy and 100 * least(nx, ny) >= {t} * greatest(nx, ny)")
+        return members, near.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
-        few = members.where(f"k <= {FEW}").select("p", "x", "component", "nx", "a")
-        near = few.join(few.toDF("p", "y", "cy", "ny", "b"), "p").where(f"x < y and component <> cy and 100 * least(nx, ny) >= {t} * greatest(nx, ny) and abs(a - b) <= {100 - t} * (nx + ny) / {100 + t}")
-        near = near.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    def _differences(self, members: DataFrame, compared: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(prefixes, pairs to compare) of sets that more than FEW share the least set p of a key with.
+
+        All of them were compared with p. Prefixes of their differences from p are returned (see `_across`), and pairs
+        of each with the most central one, whose difference holds the fewest elements of its own: what can be linked
+        is mostly linked with it.
+        """
+        t = self.percent
+        known = compared.select(F.col("a").alias("p"), F.col("b").alias("x"), F.col("na").alias("np"), (F.col("na") + F.col("nb") - 2 * F.col("common")).alias("a"))
+        own = members.where(f"k > {FEW}").join(known, ["p", "x"])
 
         most = F.floor((100 - t) * (F.col("nx") + F.floor(F.col("nx") * 100 / t)) / (100 + t))
         from_p = F.floor((100 - t) * (F.col("nx") + F.col("np")) / (100 + t))
         least = F.floor((100 - t) * (F.ceil(F.col("nx") * t / 100) + F.col("np")) / (100 + t))
-        own = members.where(f"k > {FEW}").withColumn("apart", F.col("a") > from_p)
+        own = own.withColumn("apart", F.col("a") > from_p)
         # the other's difference is at least a - H in size, and `least` + 1 if this one is linked with p
         agree = F.greatest(F.ceil((F.col("a") + least + 1 - most) / 2), F.col("a") - most, F.lit(1))
         own = own.withColumn("short", F.col("a") - agree + 1).withColumn("long", F.when(F.col("apart"), F.least(F.col("a"), most + 1)).otherwise(0))
@@ -334,15 +429,15 @@ class Join:
         w = Window.partitionBy("member")
         # elements that no other difference has come first and are left out
         each = each.withColumn("alone", F.col("a") - F.count(F.lit(1)).over(w)).withColumn("place", F.col("alone") + F.row_number().over(w.orderBy("n_e", "e")))
-        with arrow_rows(meets.sparkSession, ROWS):
+        with arrow_rows(members.sparkSession, ROWS):
             each = durable(each.where("place <= greatest(short, long) or place = alone + 1").select("p", "e", "x", "nx", "a", "alone", "place", "short", "long"), "prefixes")
         heart = each.groupBy("p").agg(F.min(F.struct("alone", "x"))["x"].alias("q"))
         grouped = own.select("p", "x", "component")
         q = heart.join(grouped.select("p", F.col("x").alias("q"), F.col("component").alias("cq")), ["p", "q"])
         central = grouped.join(q, "p").where("component <> cq").select(F.least("x", "q").alias("a"), F.greatest("x", "q").alias("b"))
-        return each, near.union(central)
+        return each, central
 
-    def _across(self, prefixes: DataFrame, components: DataFrame) -> DataFrame:
+    def _across(self, prefixes: DataFrame) -> DataFrame:
         """Pairs that may be linked though neither is the least set of a key that they share and their groups differ.
 
         Such x and y were both compared with that least set p. With a(x) the size of x's difference from p, the two
@@ -352,7 +447,7 @@ class Join:
         if they share that much, and only such pairs go on.
         """
         t = self.percent
-        each = prefixes.join(components.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+        each = prefixes.join(self.components.toDF("x", "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
         far = each.where("place <= long").select("p", "e", F.col("x").alias("y"), F.col("component").alias("cy"), F.col("nx").alias("ny"), F.col("a").alias("ay"), F.col("place").alias("place_y"))
         near = each.where("place <= short").select("p", "e", "x", "component", "nx", "a", "place")
         # from the first element that two differences share on, each must have enough left
@@ -360,16 +455,29 @@ class Join:
         both = near.join(far.drop("p"), "e").where(f"x <> y and component <> cy and 100 * least(nx, ny) >= {t} * greatest(nx, ny) and {enough}")
         return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
+    def classes(self) -> DataFrame:
+        """node, check, least (id), component: a row for each class of equal sets; component is one of its group's nodes.
+
+        Where two sets share a node but not the check, as a few in 10^10 may, the node is the first one's; the other
+        is a group by itself, rather than part of one that it isn't linked with."""
+        own = self.profile.where("node is not null").groupBy("node", "check").agg(F.min("doc_id").alias("least"))
+        first = own.groupBy("node").agg(F.min("check").alias("check"))
+        tied = first.join(self.components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        return own.join(tied, ["node", "check"], "left")
+
     def groups(self) -> DataFrame:
         """doc_id, n_shingles, component_id for every document: the smallest id that links reach."""
-        node = self.profile.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-        tied = node.join(self.components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        root = tied.groupBy("component").agg(F.min("least").alias("component_id"))
-        of = tied.join(root, "component").select("node", "component_id")
-        own = self.profile.select("doc_id", "n_shingles", "node").join(of, "node", "left")
+        classes = self.classes()
+        root = classes.where("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
+        of = classes.join(root, "component", "left").select("node", "check", F.coalesce("component_id", "least").alias("component_id"))
+        own = self.profile.select("doc_id", "n_shingles", "node", "check").join(of, ["node", "check"], "left")
         alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
         return own.select("doc_id", "n_shingles", alone.alias("component_id"))
 
+    def release(self) -> None:
+        """Deletes the join's tables, once nothing reads them any more."""
+        release(self.profile, self.links, self.components)
+
 
 def jaccard_groups(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row: documents link when their sets of `width`-word shingles have
@@ -378,7 +486,29 @@ def jaccard_groups(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col
     Null and empty texts, and texts of white space, have no shingles and link with nothing; a text with fewer than
     `width` words is one shingle; equal sets link. A row with a null id comes back with a null component; if all
     documents of a set have null ids, the set links nothing. Rows that repeat an id count as one document where
-    their sets are equal. An empty table gives no rows; other columns are not read. Shingles and sets go by 64-bit
-    hashes.
+    their sets are equal. An empty table gives no rows; other columns are not read. Shingles go by 64-bit hashes, sets
+    by 128-bit ones.
     """
     return Join(docs, width=width, percent=percent, id_col=id_col, text_col=text_col).groups()
+
+
+def deduplicate(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with one row of each group that `jaccard_groups` makes: the one of the least id, and of rows
+    with that id the one whose text has the least hash.
+
+    What goes are rows, not ids: of rows that share an id but not their groups each group's own stays, and of rows that
+    repeat id and text one. Rows without an id are chosen only where their group has no other; they group by equal sets
+    alone. Null, empty and blank texts aren't copies of each other, and all their rows stay. An empty table gives no
+    rows; other columns may have any name.
+    """
+    join = Join(docs, width=width, percent=percent, id_col=id_col, text_col=text_col)
+    classes = join.classes().select("node", "check", F.coalesce("component", "check").alias("group"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    chosen = join.profile.where("node is not null").join(classes, ["node", "check"]).groupBy("group").agg(least.alias("kept")).select("kept.*")
+    chosen = durable(chosen.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("key"), "none", "mark").distinct(), "kept")
+    join.release()
+    text, own = F.col(text_col).cast("string"), F.col(id_col).cast("long")
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(own, F.lit(0).cast("long")).alias("key"), own.isNull().alias("none"), F.xxhash64(text).alias("mark"), F.coalesce(F.rlike(text, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)).alias("said"))
+    by = ["key", "none", "mark"]
+    stays = rows.where("said").join(chosen, by, "left_semi").dropDuplicates(by)
+    return rows.where("not said").select("row").union(stays.select("row")).select("row.*")
