@@ -30,6 +30,8 @@ class Template:
 
 
 CHAT = Template()
+#: Turns whose roles are folded in one go.
+BLOCK = 4096
 
 
 def escape(text: Column) -> Column:
@@ -48,21 +50,45 @@ def turns(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: s
     return own.withColumn("at", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
 
 
+def _states(template: Template) -> list[str]:
+    """States of the machine, the start first and a dead one last."""
+    named = ["start", *template.machine, *(n for nexts in template.machine.values() for n in nexts.values())]
+    return [*dict.fromkeys(named), ""]
+
+
+def ordered(own: DataFrame, template: Template = CHAT) -> DataFrame:
+    """conv_id, in_order: whether the machine, led by the roles of all turns in order, ends in a final state.
+
+    The machine runs over blocks of BLOCK turns from each of its states at once, then over the blocks' outcomes, so
+    that no more than a block's roles, or a number for each block, is in one place.
+    """
+    states = _states(template)
+    at = {s: i for i, s in enumerate(states)}
+    dead = len(states) - 1
+    roles = sorted({r for nexts in template.machine.values() for r in nexts})
+    # table[role][state] -> state, as one array; roles that the machine doesn't know lead to the dead state
+    table = [at.get(template.machine.get(s, {}).get(r, ""), dead) for r in [*roles, None] for s in states]
+    table = F.array(*map(F.lit, table))
+    code = F.coalesce(*[F.when(F.col("role") == r, F.lit(i)) for i, r in enumerate(roles)], F.lit(len(roles)))
+    step = lambda state, role: F.get(table, role * len(states) + state)
+    coded = own.select("conv_id", "at", F.floor(F.col("at") / BLOCK).alias("block"), code.alias("code"))
+    blocks = coded.groupBy("conv_id", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "code"))), lambda x: x["code"]).alias("codes"))
+    ends = F.transform(F.array(*[F.lit(i) for i in range(len(states))]), lambda s: F.aggregate("codes", s, step))
+    blocks = blocks.select("conv_id", "block", ends.alias("ends"))
+    whole = blocks.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "ends"))), lambda x: x["ends"]).alias("ends"))
+    last = F.aggregate("ends", F.lit(0), lambda state, e: F.get(e, state))
+    return whole.select("conv_id", last.isin(*[at[s] for s in template.final if s in at]).alias("in_order"))
+
+
 def segments(rows: DataFrame, template: Template = CHAT, **columns: str) -> DataFrame:
     """conv_id, at, part (0 before, 1 text, 2 after), segment, loss, in_order: the formatted output as rows.
 
-    The machine's state after a turn is that of its role, so that a turn is in order if the turn before it, or the
-    start, allows its role. Conversations out of order are formatted all the same and carry the flag. Null roles and
-    texts are empty; null conversation ids are one conversation; rows that repeat are turns of their own; an empty
-    table gives no rows; other columns are not read.
+    in_order is a conversation's: whether the template's machine takes its roles from the start to a final state.
+    Conversations out of order are formatted all the same and carry the flag. Null roles and texts are empty; null
+    conversation ids are one conversation; rows that repeat are turns of their own; an empty table gives no rows; other
+    columns are not read.
     """
     own = turns(rows, **columns)
-    w = Window.partitionBy("conv_id").orderBy("at")
-    allowed = [(state, role) for state, nexts in template.machine.items() for role in nexts]
-    previous = F.coalesce(F.lag("role").over(w), F.lit("start"))
-    ok = F.concat_ws("\n", previous, "role").isin(*[f"{a}\n{b}" for a, b in allowed])
-    last = F.lead("role").over(w).isNull()
-    ok = ok & (~last | F.col("role").isin(*template.final))
     opening, closing = template.before.split("{role}")
     before = F.concat(F.lit(opening), escape(F.replace(F.replace("role", F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A"))), F.lit(closing))
     parts = F.array(
@@ -70,7 +96,9 @@ def segments(rows: DataFrame, template: Template = CHAT, **columns: str) -> Data
         F.struct(F.lit(1).alias("part"), escape(F.col("text")).alias("segment"), F.col("role").isin(*template.loss_roles).alias("loss")),
         F.struct(F.lit(2).alias("part"), F.lit(template.after).alias("segment"), F.lit(False).alias("loss")),
     )
-    return own.withColumn("in_order", ok).select("conv_id", "at", "in_order", F.inline(parts)).select("conv_id", "at", "part", "segment", "loss", "in_order")
+    order = ordered(own, template).withColumnRenamed("conv_id", "c")
+    flagged = own.join(order, F.col("conv_id").eqNullSafe(F.col("c")))
+    return flagged.select("conv_id", "at", "in_order", F.inline(parts)).select("conv_id", "at", "part", "segment", "loss", "in_order")
 
 
 def formatted(parts: DataFrame) -> DataFrame:

@@ -1,10 +1,19 @@
-"""Licence scans in DataFrame operations alone: Dice coefficient over word bigrams against licence templates."""
+"""Licence scans in DataFrame operations alone: Dice coefficient over word bigrams against licence templates.
+
+A licence may stand anywhere in a text: passages of normalised words, whatever lines they run over, are compared with
+templates. Size bounds say how many of a template's bigrams a passage must hold and how long it may be; most texts lack
+the bigrams without which no passage can hold so many, and go at once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import re
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from attesta.llm.common import let
 
-#: Dice coefficient from which a piece of text is a licence's.
+#: Dice coefficient from which a passage is a licence's.
 DICE = 0.8
 
 # Licence notices and short licence texts, as their publishers word them.
@@ -34,35 +43,63 @@ def words(text: Column) -> Column:
 
 
 def bigrams(found: Column) -> Column:
-    """Distinct hashes of neighbouring words."""
+    """Hashes of neighbouring words, in order."""
     pairs = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - 2), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1)))
-    many = F.array_distinct(F.get(F.transform(F.array(F.transform(found, lambda w: F.xxhash64(w))), pairs), F.lit(0)))
+    many = let(F.transform(found, lambda w: F.xxhash64(w)), pairs)
     return F.when(F.size(found) >= 2, many).otherwise(F.array().cast("array<bigint>"))
 
 
+def bounds(templates=TEMPLATES, least: float = DICE) -> list[tuple[int, str, str, int, int, int, list[str]]]:
+    """(template, licence, wording, distinct bigrams, how many of them a passage must hold, bigrams it may span, bigrams
+    of which it must hold one) of each template."""
+    out = []
+    for i, (name, wording) in enumerate(templates):
+        w = [x for x in re.split(r"[^\w]+|_", wording.lower()) if x]
+        each = [" ".join(p) for p in zip(w, w[1:])]
+        grams = list(dict.fromkeys(each))
+        need = -int(-round(least * len(grams) / (2 - least), 6) // 1)
+        # a passage that holds `need` of the bigrams holds one of any others than need - 1; long words are rare ones
+        rare = sorted(grams, key=lambda g: (-len(g), g))[: len(grams) - need + 1]
+        out.append((i, name, wording, len(grams), need, int(round(len(each) * (2 - least) / least, 6)), rare))
+    return out
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, *, least: float = DICE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, license, n_pieces, first_piece, dice (the best), one row per document and licence found in it.
+    """doc_id, license, dice, begin, n_words: one row per document and licence found in it, with its best passage (word
+    places; ties to the earlier, then the shorter one).
 
-    Compared are a text's lines and, if it has several, the text as a whole (piece -1). A piece whose number of
-    bigrams is out of bounds for a template can't reach `least` with it and isn't compared. Null and empty texts and
-    pieces of one word hold no licence; null ids are kept; rows that repeat an id count together; an empty table
-    gives no rows; other columns are not read.
+    A passage begins with a bigram of the template that none precedes, ends with one, and spans at most as many bigrams
+    as the template has, over its size bound. Its size counts the template's bigrams in it once, others wherever they
+    stand. Null and empty texts and texts of one word hold no licence; null ids are kept; rows that repeat an id count
+    together; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    listed = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(templates)], "template int, license string, wording string")
-    listed = listed.select("template", "license", bigrams(words(F.col("wording"))).alias("grams"))
-    listed = listed.select("template", "license", F.size("grams").alias("n_template"), F.explode("grams").alias("gram"))
-    longest = max(len(b.split()) for _, b in templates) * 3  # a word may be cut at signs: well over any template
-    bound = (2 - least) / least
-
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
-    lines = F.transform(F.split("body", "\n"), lambda x, i: F.struct(i.alias("piece"), x.alias("part")))
-    whole = F.when(F.contains("body", F.lit("\n")) & (F.length("body") <= longest * 40), F.array(F.struct(F.lit(-1).alias("piece"), F.col("body").alias("part")))).otherwise(F.array().cast("array<struct<piece:int,part:string>>"))
-    pieces = own.select("doc_id", F.inline(F.concat(lines, whole))).where(F.length("part") > 3)
-    grams = pieces.select("doc_id", "piece", bigrams(words(F.col("part"))).alias("grams"))
-    grams = grams.select("doc_id", "piece", F.size("grams").alias("n_piece"), F.explode("grams").alias("gram"))
+    fixed = bounds(templates, least)
+    listed = spark.createDataFrame([x[:6] for x in fixed], "template int, license string, wording string, n_template int, need int, reach int")
+    grams = bigrams(words(F.col("wording")))
+    listed = listed.select("template", "license", "n_template", "need", "reach", F.explode(F.array_distinct(grams)).alias("gram"))
+    rare = F.array(*[F.xxhash64(*[F.xxhash64(F.lit(w)) for w in g.split(" ")]) for g in sorted({g for x in fixed for g in x[6]})])
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("key"), F.xxhash64(text).alias("mark"), bigrams(words(text)).alias("grams"))
+    own = own.where(F.arrays_overlap("grams", rare))
     # the templates are a fixed list
-    near = grams.join(F.broadcast(listed), "gram").where((F.col("n_piece") <= bound * F.col("n_template")) & (F.col("n_template") <= bound * F.col("n_piece")))
-    shared = near.groupBy("doc_id", "piece", "n_piece", "template", "license", "n_template").agg(F.count_distinct("gram").alias("n"))
-    dice = shared.withColumn("dice", F.round(2.0 * F.col("n") / (F.col("n_piece") + F.col("n_template")), 6)).where(F.col("dice") >= least)
-    return dice.groupBy("doc_id", "license").agg(F.count_distinct("piece").alias("n_pieces"), F.min("piece").cast("long").alias("first_piece"), F.max("dice").alias("dice"))
+    hits = own.select("doc_id", "key", "mark", F.posexplode("grams").alias("at", "gram")).join(F.broadcast(listed), "gram")
+    by = ["key", "mark", "doc_id", "template", "license", "n_template", "need", "reach"]
+    # a document's hits are fewer than its words
+    hits = hits.distinct().groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "gram"))).alias("hits"))
+    starts = F.filter(
+        F.transform("hits", lambda x, i: F.struct(x["at"].alias("begin"), i.alias("i"))),
+        lambda x: ((x["i"] == 0) | (F.get("hits", x["i"] - 1)["at"] < x["begin"] - 1)) & (F.get("hits", x["i"] + F.col("need") - 1)["at"] < x["begin"] + F.col("reach")),
+    )
+    near = hits.where(F.size("hits") >= F.col("need")).select("*", F.explode(starts).alias("s"))
+    inside = F.filter(F.slice("hits", F.col("s.i") + 1, F.col("reach")), lambda x: x["at"] < F.col("s.begin") + F.col("reach"))
+    passage = near.select(*by, F.col("s.begin").alias("begin"), F.explode(inside).alias("x")).select(*by, "begin", F.col("x.at").alias("at"), F.col("x.gram").alias("gram"))
+    at_start = Window.partitionBy("key", "mark", "template", "begin")
+    once = (F.row_number().over(at_start.partitionBy("key", "mark", "template", "begin", "gram").orderBy("at")) == 1).cast("int")
+    run = at_start.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    counted = passage.withColumn("once", once).withColumns({"n": F.sum("once").over(run), "k": F.count(F.lit(1)).over(run)})
+    size = F.col("at") - F.col("begin") + 1 - F.col("k") + F.col("n")
+    dice = counted.withColumn("dice", F.round(2.0 * F.col("n") / (size + F.col("n_template")), 6)).where(F.col("dice") >= least)
+    best = dice.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.max(F.struct("dice", (-F.col("begin")).alias("b"), (-F.col("at")).alias("e"))).alias("best"))
+    return best.select("doc_id", "license", "dice", (-F.col("best.b")).cast("long").alias("begin"), (F.col("best.b") - F.col("best.e") + 2).cast("long").alias("n_words"))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from attesta.llm.common import durable
+from attesta.llm.common import durable, let
 
 # The patterns of the entities, in the order in which they are listed. Possessive forms and look-behinds
 # find the same matches as the plain forms, in linear time.
@@ -25,12 +25,7 @@ KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT = 80
 #: Shares of an entity's information from which a word is generalised, and removed; documents that must agree.
 GENERALISE, REMOVE, SUPPORT = 0.5, 0.95, 2
-WORD = r"\p{L}{3,}"
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+WORD = r"\p{L}{2,}"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -129,26 +124,25 @@ def _near(text: Column, span: Column) -> Column:
     return F.concat(side(left, span["start"]), side(span["end"], right))
 
 
-def analyse(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of docs with its columns, and: spans, array<struct<kind, start, end, value, removed>> by kind and start
-    (kinds count from 0 as in KINDS; the last are words that the method adds; code points, end exclusive).
-
-    Null texts count as empty; null ids are documents like others; rows that repeat get the same spans; an empty table
-    gives no rows; names of other columns may clash with none of ours but `spans`, which is replaced.
-    """
+def _keyed(docs: DataFrame, id_col: str, text_col: str):
     text, key = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    own = docs.select(key.alias("key"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    return text, key, F.xxhash64(text)
+
+
+def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """key, mark, spans of the rows that hold an entity, once each."""
+    text, key, mark = _keyed(docs, id_col, text_col)
+    own = docs.select(key.alias("key"), mark.alias("mark"), text.alias("text"))
     found = own.withColumn("base", entities(F.col("text"))).where(F.size("base") > 0)
-    named = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.concat_ws(":", s["kind"].cast("string"), F.when(s["kind"] == 0, F.lower(s["value"])).otherwise(_digits(s["value"]))).alias("entity"), _near(F.col("text"), s).alias("near")))
-    found = durable(found.select("key", "mark", named.alias("base")), "entities")
+    named = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.concat_ws(":", s["kind"].cast("string"), F.when(s["kind"] == 0, F.lower(s["value"])).otherwise(_digits(s["value"]))).alias("entity"), F.transform(_near(F.col("text"), s), lambda w: w["term"]).alias("near")))
+    found = durable(found.select("key", "mark", "text", named.alias("base")), "entities")
 
     # counts of documents: with a word beside an entity, with an entity, with a word, all
-    seen = found.select("key", "mark", F.explode("base").alias("s")).select("key", "mark", F.col("s.entity").alias("entity"), F.explode("s.near").alias("w"))
-    pair = F.array_distinct(F.flatten(F.transform("base", lambda s: F.transform(s["near"], lambda w: F.struct(s["entity"].alias("entity"), w["term"].alias("term"))))))
+    pair = F.array_distinct(F.flatten(F.transform("base", lambda s: F.transform(s["near"], lambda w: F.struct(s["entity"].alias("entity"), w.alias("term"))))))
     both = found.select(F.explode(pair).alias("p")).groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= SUPPORT)
     both = durable(both, "beside")
     of_entity = found.select(F.explode(F.array_distinct(F.transform("base", lambda s: s["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    words = own.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= 3)
+    words = own.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= 2)
     of_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(both.select("term").distinct(), "term")
     total = own.agg(F.count(F.lit(1)).cast("double").alias("n")).first()["n"]
     told = both.join(of_entity, "entity").join(of_term, "term")
@@ -156,15 +150,43 @@ def analyse(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     share = F.log(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term"))) / own_content
     told = told.where(own_content > 0).withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share")
 
-    terms = seen.select("key", "mark", "entity", F.col("w.term").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end")).join(told, ["entity", "term"])
-    terms = terms.groupBy("key", "mark", "start", "end", "term").agg(F.max("share").alias("share"))
-    terms = terms.groupBy("key", "mark").agg(F.collect_list(F.struct(F.lit(4).alias("kind"), "start", "end", F.col("term").alias("value"), (F.col("share") >= REMOVE).alias("removed"))).alias("terms"))
-    base = found.select("key", "mark", F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(False).alias("removed"))).alias("base")).dropDuplicates(["key", "mark"])
+    # a word that discloses an entity goes wherever it stands in a document that holds the entity
+    holds = found.select("key", "mark", F.explode(F.array_distinct(F.transform("base", lambda s: s["entity"]))).alias("entity")).distinct()
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
+    has = found.dropDuplicates(["key", "mark"]).select("key", "mark", F.explode(words).alias("term"))
+    terms = holds.join(told, "entity").groupBy("key", "mark", "term").agg(F.max("share").alias("share")).join(has, ["key", "mark", "term"])
+    terms = terms.groupBy("key", "mark").agg(F.map_from_entries(F.collect_list(F.struct("term", F.col("share") >= REMOVE))).alias("terms"))
     kind = "array<struct<kind:int,start:int,end:int,value:string,removed:boolean>>"
-    none = F.array().cast(kind)
-    spans = base.join(terms, ["key", "mark"], "left").select("key", "mark", F.array_sort(F.concat(F.col("base").cast(kind), F.coalesce(F.col("terms").cast(kind), none))).alias("spans"))
-    rows = docs.drop("spans").select(F.struct("*").alias("row"), key.alias("key"), F.xxhash64(text).alias("mark"))
-    return rows.join(spans, ["key", "mark"], "left").select("row.*", F.coalesce("spans", none).alias("spans"))
+    base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(False).alias("removed")))
+    places = F.filter(F.transform(matches(F.col("text"), WORD), lambda m: F.struct(F.lit(4).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.lower(m["value"]).alias("value"), F.element_at("terms", F.lower(m["value"])).alias("removed"))), lambda m: m["removed"].isNotNull())
+    # a word inside an entity is hidden with it
+    free = F.filter(places, lambda m: ~F.exists("base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
+    added = F.when(F.col("terms").isNotNull(), free.cast(kind)).otherwise(F.array().cast(kind))
+    return found.dropDuplicates(["key", "mark"]).join(terms, ["key", "mark"], "left").select("key", "mark", F.array_sort(F.concat(base.cast(kind), added)).alias("spans"))
+
+
+def analyse(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", into: str = "spans") -> DataFrame:
+    """Every row of docs with its columns, and `into`: array<struct<kind, start, end, value, removed>> by kind and start
+    (kinds count from 0 as in KINDS; the last are words that the method adds; code points, end exclusive).
+
+    Words are weighed beside an entity, and those that disclose it are marked wherever they stand in a document that
+    holds it. Null texts count as empty; null ids are documents like others; rows that repeat get the same spans; an
+    empty table gives no rows; other columns may have any name but `into`, which is replaced.
+    """
+    _, key, mark = _keyed(docs, id_col, text_col)
+    none = F.array().cast("array<struct<kind:int,start:int,end:int,value:string,removed:boolean>>")
+    rows = docs.drop(into).select(F.struct("*").alias("row"), key.alias("key"), mark.alias("mark"))
+    return rows.join(_spans(docs, id_col, text_col), ["key", "mark"], "left").select("row.*", F.coalesce("spans", none).alias(into))
+
+
+def sanitised(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, whatever their names, with sanitised texts; null texts stay null. The cases of `analyse`."""
+    _, key, mark = _keyed(docs, id_col, text_col)
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"), mark.alias("mark"))
+    found = rows.join(_spans(docs, id_col, text_col), ["key", "mark"], "left")
+    text = F.col("row")[text_col].cast("string")
+    clean = F.when(F.col("spans").isNotNull(), sanitise(text, F.col("spans"))).otherwise(text)
+    return found.select(F.col("row").withField(f"`{text_col}`", clean).alias("row")).select("row.*")
 
 
 def sanitise(text: Column, spans: Column) -> Column:

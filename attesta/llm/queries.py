@@ -88,18 +88,19 @@ OP2_SQL = """WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda
 s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.e, d.e) AS BIGINT) AS score FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e) WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 20"""
 
-OP3_SQL = """WITH RECURSIVE tw AS (SELECT * FROM (VALUES {values}) t(template, license, wording)),
-tl AS (SELECT template, license, list_filter(regexp_split_to_array(lower(wording), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM tw),
-tg AS (SELECT DISTINCT template, license, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT *, unnest(range(1, len(w))) AS i FROM tl)),
+OP3_SQL = """WITH tw AS (SELECT * FROM (VALUES {values}) t(template, license, wording, need, reach)),
+tl AS (SELECT template, license, need, reach, list_filter(regexp_split_to_array(lower(wording), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM tw),
+tg AS (SELECT DISTINCT template, license, need, reach, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT *, unnest(range(1, len(w))) AS i FROM tl)),
 tn AS (SELECT template, count(*) AS n_template FROM tg GROUP BY 1),
-ln AS (SELECT doc_id, unnest(l) AS part, generate_subscripts(l, 1) - 1 AS piece FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
-pc AS (SELECT doc_id, piece, part FROM ln UNION ALL SELECT doc_id, -1, text FROM documents WHERE contains(text, chr(10)) AND length(text) <= {longest}),
-pw AS (SELECT doc_id, piece, list_filter(regexp_split_to_array(lower(part), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM pc WHERE length(part) > 3),
-pg AS (SELECT DISTINCT doc_id, piece, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT *, unnest(range(1, len(w))) AS i FROM pw)),
-pn AS (SELECT doc_id, piece, count(*) AS n_piece FROM pg GROUP BY 1, 2),
-sh AS (SELECT doc_id, piece, template, license, count(*) AS n FROM pg JOIN tg USING (gram) GROUP BY ALL),
-dc AS (SELECT doc_id, piece, license, round(2.0 * n / CAST(n_piece + n_template AS DOUBLE), 6) AS dice FROM sh JOIN tn USING (template) JOIN pn USING (doc_id, piece))
-SELECT doc_id, license, count(DISTINCT piece) AS n_pieces, CAST(min(piece) AS BIGINT) AS first_piece, max(dice) AS dice FROM dc WHERE dice >= {least} GROUP BY 1, 2"""
+dw AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w, hash(text) AS mark FROM documents),
+dg AS (SELECT doc_id, mark, i - 1 AS pos, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT *, unnest(range(1, len(w))) AS i FROM dw)),
+h AS (SELECT doc_id, mark, pos, gram, template, license, need, reach, lag(pos) OVER (PARTITION BY doc_id, mark, template ORDER BY pos) AS before FROM dg JOIN tg USING (gram)),
+p AS (SELECT s.doc_id, s.mark, s.template, s.license, s.pos AS begin_, x.pos, x.gram, row_number() OVER (PARTITION BY s.doc_id, s.mark, s.template, s.pos, x.gram ORDER BY x.pos) = 1 AS once
+  FROM h s JOIN h x ON x.doc_id IS NOT DISTINCT FROM s.doc_id AND x.mark IS NOT DISTINCT FROM s.mark AND x.template = s.template AND x.pos >= s.pos AND x.pos < s.pos + s.reach WHERE s.before IS NULL OR s.before < s.pos - 1),
+r AS (SELECT *, sum(CAST(once AS INTEGER)) OVER k AS n, count(*) OVER k AS c FROM p WINDOW k AS (PARTITION BY doc_id, mark, template, begin_ ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT doc_id, license, begin_, pos, round(2.0 * n / CAST(pos - begin_ + 1 - c + n + n_template AS DOUBLE), 6) AS dice FROM r JOIN tn USING (template))
+SELECT doc_id, license, dice, CAST(begin_ AS BIGINT) AS "begin", CAST(pos - begin_ + 2 AS BIGINT) AS n_words FROM d WHERE dice >= {least}
+QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY dice DESC, begin_, pos) = 1"""
 
 OP4_SQL = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 sg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 4)
@@ -123,9 +124,8 @@ FROM o GROUP BY 1"""
 
 def oracle_sql():
     """SQL for the operators that it can express on the tables: ranks, set similarities, groups and digests."""
-    from attesta.llm.licenses import DICE, TEMPLATES
+    from attesta.llm.licenses import DICE, bounds
 
-    quoted = ", ".join(f"({i}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')" for i, (a, b) in enumerate(TEMPLATES))
-    longest = max(len(b.split()) for _, b in TEMPLATES) * 3 * 40
-    licenses = OP3_SQL.format(values=quoted, longest=longest, least=DICE)
+    quoted = ", ".join(f"({i}, '{a}', '{b.replace(chr(39), chr(39) * 2)}', {need}, {reach})" for i, a, b, _, need, reach, _ in bounds())
+    licenses = OP3_SQL.format(values=quoted, least=DICE)
     return {"op2_cover_search": OP2_SQL, "op3_licenses": licenses, "op4_jaccard_join": OP4_SQL, "op6_chat": OP6_SQL}

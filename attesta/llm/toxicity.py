@@ -7,11 +7,12 @@ the likeliest readings, and the restored words are scored.
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from attesta.llm.common import durable
 
-#: At most so many labelled documents are learned from, and so many features kept.
-SAMPLE, FEATURES = 20_000, 40_000
+#: At most so many labelled documents are learned from, and so many features kept, those that most toxic documents have.
+SAMPLE, FEATURES = 20_000, 200_000
 #: Word beginnings that count as features besides the whole word.
 PREFIXES = range(3, 9)
 #: Letters a character may stand for, besides itself.
@@ -32,14 +33,17 @@ LOOK_ALIKE = {
 SWAP, DROP, REPEAT = 1.0, 2.5, 0.5
 READINGS = 3
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_][ ._*-]){2,}[^\W_](?![^\W_])")
+_M61 = (1 << 61) - 1
 _EDGES = ".,;:!?\"'()[]{}<>-_*#&%$~`|/\\=+@^"
 _TRIPLE = re.compile(r"(.)\1\1")
 _PARTS = re.compile(r"[^\W\d_]{3,}")
 
 
+@lru_cache(maxsize=4096)
 def fold(c: str) -> str:
-    """The language model's alphabet: Latin letters, and one sign for all others."""
-    return c if c < "ɐ" else "ɐ"
+    """The language model's alphabet: a letter's base from a to z, and one sign for all others; under 20,000 trigrams."""
+    base = unicodedata.normalize("NFKD", c)[:1]
+    return base if "a" <= base <= "z" else "ɐ"
 
 
 def grams(word: str) -> list[str]:
@@ -65,35 +69,49 @@ class Language:
 
 
 def restore(token: str, language: Language, best: int = READINGS) -> list[str]:
-    """The likeliest readings of a token, best first: list Viterbi over its lattice, one state per last two letters."""
-    states = {"^^": [(0.0, "")]}
+    """The likeliest readings of a token, best first: list Viterbi over its lattice, one state per last two letters.
+
+    A path is its cost, a hash of its text, and its last letter with a pointer to the path before, so that a step costs
+    the same however long the token is.
+    """
+    states: dict[str, list] = {"^^": [(0.0, 0, None)]}
     for at, c in enumerate(token):
         after: dict[str, list] = {}
         alike = LOOK_ALIKE.get(c, "")
         arcs = [(c, 0.0)] if c.isalpha() else [(x, SWAP + (1.0 if len(alike) > 2 else 0.0)) for x in alike]
         again = at > 0 and token[at - 1] == c
         for last, paths in states.items():
-            for cost, text in paths:
+            for path in paths:
+                cost, text, _ = path
                 for letter, price in arcs:
                     f = fold(letter)
-                    after.setdefault(last[1] + f, []).append((cost + price + language.cost(last + f), text + letter))
+                    after.setdefault(last[1] + f, []).append((cost + price + language.cost(last + f), (text * 1_000_003 + ord(letter)) & _M61, (letter, path)))
                 if not c.isalpha() or again:
-                    after.setdefault(last, []).append((cost + (REPEAT if again else DROP), text))
+                    after.setdefault(last, []).append((cost + (REPEAT if again else DROP), text, path[2]))
         states = {k: _least(v, best) for k, v in after.items()}
         if not states:
             return []
-    ends = [(cost + language.cost(last + "$"), text) for last, paths in states.items() for cost, text in paths if text]
-    return [text for _, text in _least(ends, best)]
+    ends = [(cost + language.cost(last + "$"), text, back) for last, paths in states.items() for cost, text, back in paths if back]
+    out = []
+    for _, _, back in _least(ends, best):
+        letters = []
+        while back:
+            letters.append(back[0])
+            back = back[1][2]
+        out.append("".join(letters[::-1]))
+    return out
 
 
 def _least(paths: list, n: int) -> list:
     """The n cheapest paths with different texts."""
     out, seen = [], set()
-    for p in heapq.nsmallest(len(paths) if len(paths) <= 4 * n else 4 * n, paths):
+    for p in sorted(paths, key=lambda p: p[:2]):
         if p[1] not in seen:
             seen.add(p[1])
             out.append(p)
-    return out[:n]
+            if len(out) == n:
+                break
+    return out
 
 
 def noisy(word: str) -> bool:
@@ -206,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame):
     if not sizes[0] + sizes[2] or not sizes[1] + sizes[3]:
         return None
     toxic = _count(sample.where("cell in (1, 3)"), None).where("c1 + c3 >= 3")
-    toxic = toxic.orderBy(F.desc(F.col("c1") + F.col("c3")), "feature").limit(5 * FEATURES).collect()
+    toxic = toxic.orderBy(F.desc(F.col("c1") + F.col("c3")), "feature").limit(FEATURES).collect()
     wanted = frozenset(r["feature"] for r in toxic)
     clean = {r["feature"]: r for r in _count(sample.where("cell in (0, 2)"), wanted).collect()}
     rows = []
@@ -251,7 +269,8 @@ def _count(sample: DataFrame, wanted: frozenset | None) -> DataFrame:
 
 
 def _grams(docs: DataFrame) -> DataFrame:
-    """gram, n: the letter trigrams of all words of all texts. The folded alphabet bounds their number."""
+    """gram, n: the letter trigrams of all words of all texts. The folded alphabet bounds their number, at any size of the
+    corpus, and counts keep growing with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,30 +36,41 @@ def test_leaks_without_broadcast(spark, docs, monkeypatch):
     assert got == {(i, i % 7) for i in range(14) if i % 7 < 5}
 
 
-def dice(a, b):
-    import re
-
-    grams = lambda t: {(x, y) for w in [re.findall(r"[^\W_]+", t.lower())] for x, y in zip(w, w[1:])}
-    a, b = grams(a), grams(b)
-    return round(2 * len(a & b) / (len(a) + len(b)), 6) if a and b else 0.0
+def passages(text, templates):
+    """{licence: (dice, begin, words)} by trying every passage that may begin and end there."""
+    w = re.findall(r"[^\W_]+", (text or "").lower())
+    grams, out = list(zip(w, w[1:])), {}
+    for _, name, wording, _, _, reach, _ in licenses.bounds(templates):
+        t = re.findall(r"[^\W_]+", wording.lower())
+        theirs = set(zip(t, t[1:]))
+        for i, g in enumerate(grams):
+            if g not in theirs or i and grams[i - 1] in theirs:
+                continue
+            for j in range(i, min(i + reach, len(grams))):
+                if grams[j] in theirs:
+                    piece = grams[i : j + 1]
+                    shared = set(piece) & theirs
+                    size = len(shared) + sum(g not in theirs for g in piece)
+                    d = round(2 * len(shared) / (size + len(theirs)), 6)
+                    if d >= licenses.DICE:
+                        out[name] = max(out.get(name, (0, 0, 0)), (d, -i, -(j - i + 2)))
+    return {k: (d, -i, -n) for k, (d, i, n) in out.items()}
 
 
 def test_licenses(docs, odd):
-    full = dict((len(b), b) for _, b in licenses.TEMPLATES)
-    longest = full[max(full)]
-    texts = [prose(30, 1) + "\nLicensed under the Apache License, Version 2.0.\n" + prose(9, 2), "licensed under the mit license", longest.replace(". ", ".\n"), prose(50, 3), None, "", "License"]
-    got = {(r["doc_id"], r["license"]): r for r in licenses.scan(docs(list(enumerate(texts)))).collect()}
-    want = {}
-    for i, t in enumerate(texts):
-        pieces = [(n, p) for n, p in enumerate((t or "").split("\n"))] + ([(-1, t)] if t and "\n" in t and len(t) < 9000 else [])
-        for name, wording in licenses.TEMPLATES:
-            for n, p in pieces:
-                if dice(p, wording) >= licenses.DICE:
-                    best = want.setdefault((i, name), [set(), 0.0])
-                    best[0].add(n)
-                    best[1] = max(best[1], dice(p, wording))
-    assert {k: (r["n_pieces"], r["first_piece"], r["dice"]) for k, r in got.items()} == {k: (len(v[0]), min(v[0]), v[1]) for k, v in want.items()}
-    assert (0, "Apache-2.0") in got and (2, "MIT") in got
+    mit = max((b for _, b in licenses.TEMPLATES), key=len)
+    wrapped = "\n".join(" ".join(mit.split()[i : i + 9]) for i in range(0, len(mit.split()), 9))
+    texts = [
+        prose(30, 1) + "\nLicensed under the Apache License, Version 2.0.\n" + prose(9, 2), "licensed under the mit license", mit.replace(". ", ".\n"), prose(50, 3), None, "", "License",
+        "\n".join(["# a header of the file"] + [prose(8, i) for i in range(4)] + [wrapped] + [prose(8, 50 + i) for i in range(60)]),  # inside a file
+        "This file is released under the MIT License.", "under the " + prose(7, 4) + " Licensed under the MIT License. the mit",
+        (wrapped + "\n") * 40, mit.replace("Permission", "Copyright 2020 Some One Permission").replace("sublicense, ", ""), prose(20_000, 9) + " " + wrapped + " " + prose(20_000, 10),
+    ]
+    got: dict = {}
+    for r in licenses.scan(docs(list(enumerate(texts)))).collect():
+        got.setdefault(r["doc_id"], {})[r["license"]] = (r["dice"], r["begin"], r["n_words"])
+    assert got == {i: want for i, t in enumerate(texts) if (want := passages(t, licenses.TEMPLATES))}
+    assert all("MIT" in got[i] for i in (1, 2, 7, 8, 9, 10, 11, 12)) and "Apache-2.0" in got[0] and got[10]["MIT"][0] == 1.0
     licenses.scan(docs(odd)).collect()
     assert licenses.scan(docs([])).count() == 0
 
@@ -88,3 +101,36 @@ def test_chat_round_trip(spark):
 def test_chat_empty(spark):
     rows = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digest(chat.formatted(chat.segments(rows))).count() == 0
+
+
+MACHINE = chat.Template(machine={"start": {"user": "asked", "system": "told"}, "told": {"user": "asked"}, "asked": {"assistant": "done", "tool": "looked"}, "looked": {"tool": "looked", "assistant": "done"}, "done": {}}, final=("done",))
+
+
+@pytest.mark.parametrize("template", [chat.CHAT, MACHINE])
+def test_machine_against_a_plain_loop(spark, monkeypatch, template):
+    """States that aren't named as roles, unknown roles, and conversations over several blocks."""
+    monkeypatch.setattr(chat, "BLOCK", 4)
+    r = random.Random(3)
+    talks = [r.choices(["user", "assistant", "tool", "system", None], weights=[4, 4, 2, 1, 0.2], k=r.randrange(1, 7)) for _ in range(150)]
+    talks += [["user", *["tool"] * 25, "assistant"], ["user", *["tool"] * 25], ["user", "assistant"] * 20, ["user", "assistant"], ["system", "user", "assistant"], ["user", "tool", "assistant", "user"]]
+    rows = spark.createDataFrame([(c, i, role, "x") for c, talk in enumerate(talks) for i, role in enumerate(talk)], "conv_id long, turn long, role string, text string")
+
+    def fine(talk):
+        state = "start"
+        for role in talk:
+            state = template.machine.get(state, {}).get(role or "")
+        return state in template.final
+
+    got = {x["conv_id"]: x["in_order"] for x in chat.segments(rows, template).select("conv_id", "in_order").distinct().collect()}
+    assert got == {c: fine(talk) for c, talk in enumerate(talks)}
+    assert len(set(got.values())) == 2
+
+
+def test_long_chats(spark):
+    """A very long text, and a conversation of very many turns."""
+    long = "<|im_end|> word " * 40_000
+    rows = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)] + [(2, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(20_000)], "conv_id long, turn long, role string, text string")
+    got = {x["conv_id"]: x for x in chat.digest(chat.formatted(chat.segments(rows))).collect()}
+    assert got[1]["loss_chars"] == len(long) and got[1]["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest() and got[1]["in_order"]
+    said = "".join(f"t{i}" for i in range(1, 20_000, 2))
+    assert got[2]["n_turns"] == 20_000 and got[2]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest() and got[2]["in_order"]

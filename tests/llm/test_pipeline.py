@@ -32,3 +32,22 @@ def test_stages(spark, tmp_path):
     assert set(kept[4]) == set(kept[3]) and {"sequence_id", "ids"} <= set(now.columns)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
     assert pii.KINDS[0] == "email"
+
+
+def test_rows_not_ids_go(spark):
+    a, b, c = prose(40, 1), prose(40, 2), prose(40, 3)
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (None, a), (None, prose(40, 4)), (None, prose(40, 4)), (8, None), (8, None), (9, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit("x") for n in ("spans", "row", "key", "mark", "none", "node", "group", "a.b")})
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    left = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert left == sorted([(1, a), (5, b), (7, c), (None, prose(40, 4)), (8, None), (8, None), (9, " ")], key=str)
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_sanitise_keeps_other_columns(spark):
+    said = "mail joe@example.org now"
+    docs = spark.createDataFrame([(1, said, "kept"), (1, said, "kept"), (None, None, "kept"), (2, "", "kept")] + [(3, "mail now", "kept")] * 9, "doc_id long, text string, spans string")
+    out = corpus_pipeline.sanitise(spark, docs.withColumn("a.b", F.lit(1)), "")
+    assert out.columns == [*docs.columns, "a.b"]
+    assert sorted((str(r["doc_id"]), str(r["text"]), r["spans"]) for r in out.collect()) == [("1", "mail [EMAIL] now", "kept")] * 2 + [("2", "", "kept")] + [("3", "mail now", "kept")] * 9 + [("None", "None", "kept")]

@@ -64,3 +64,42 @@ def test_viterbi_against_all_readings():
         options = [[(c, 0.0)] if c.isalpha() else [(x, T.SWAP) for x in T.LOOK_ALIKE[c]] + [("", T.DROP)] for c in token]
         best = min((sum(p for _, p in combo) + sum(language.cost(g) for g in T.grams("".join(x for x, _ in combo))), "".join(x for x, _ in combo)) for combo in itertools.product(*options))
         assert T.restore(token, language)[0] == best[1]
+
+
+def test_long_tokens():
+    """Very long tokens and spelled-out texts take seconds, and the parts of a reading are those of a short token."""
+    import time
+    from collections import Counter
+
+    language = T.Language(Counter(g for w in ["idiot", "idea", "dot", "riot", "lid"] for g in T.grams(w)))
+    judge = T.Judge({"idiot$": 9.0}, language)
+    began = time.perf_counter()
+    token = "1d10t" * 40_000
+    assert len(T.restore(token, language)[0]) == len(token)
+    assert judge.evidence(" ".join("idiot" * 20_000))[0] >= 0
+    assert time.perf_counter() - began < 60
+    assert judge.evidence("an 1d10t")[0] == 9.0 and judge.evidence("i d i o t")[0] == 9.0 and judge.evidence("idea")[0] == 0.0
+
+
+def test_evidence_against_plain_counts(spark, docs, rows):
+    """Weights by plain loops over the labelled texts."""
+    import math
+
+    known = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    weights, language, _ = T.train(docs(rows).select("doc_id", "text"), known)
+    of = {i: {f for w in t.split() if len(w) > 2 for f in T.features(w)} for i, t in rows[:300]}
+    tox, n = [i for i in of if i % 5 == 0], len(of)
+    want = {}
+    for f in set().union(*(of[i] for i in tox)):
+        a, b = sum(f in of[i] for i in tox), sum(f in of[i] for i in of if i % 5)
+        w = math.log((a + 0.5) / (len(tox) + 1)) - math.log((b + 0.5) / (n - len(tox) + 1))
+        if a >= 3 and w > 1:
+            want[f] = w
+    assert weights.keys() == want.keys() and all(abs(weights[f] - want[f]) < 1e-9 for f in want)
+    counts: dict = {}
+    for _, t in rows:
+        for w in t.split():
+            for g in T.grams(w):
+                counts[g] = counts.get(g, 0) + 1
+    plain = T.Language(counts)
+    assert plain.log.keys() == language.log.keys() and all(abs(plain.log[g] - language.log[g]) < 1e-9 for g in plain.log)
