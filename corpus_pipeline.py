@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame, which is
 written as Parquet and read again for the next one.
+
+Null texts count as empty, and stay null until they are packed; null ids are documents like others; of rows that repeat
+one stays, unless they are blank; an empty table gives no rows; documents may have other columns of any name, which all
+but the last stage hand on.
 """
 
 from __future__ import annotations
@@ -19,11 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of similarity 0.8 or more over five-word shingles make, the least id stays. Documents
-    without an id stay."""
-    groups = set_join.jaccard_groups(docs, width=5, percent=80)
-    gone = durable(groups.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group that links of similarity 0.8 or more over five-word shingles make, one row stays (see
+    `set_join.deduplicate` for repeated and null ids). Blank texts stay."""
+    return set_join.deduplicate(docs, width=5, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +34,11 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and the words that disclose it are replaced in the texts."""
-    found = pii.analyse(docs)
-    text = F.when(F.col("text").isNotNull(), pii.sanitise(F.col("text"), F.col("spans")))
-    out = found.withColumn("text", text).drop("spans")
+    """Personal data and the words that disclose it are replaced in the texts; n_chars follows the text."""
+    out = pii.sanitised(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
