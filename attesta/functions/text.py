@@ -18,7 +18,7 @@ def tokens(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """White space runs become one space; blank becomes null."""
-    return F.nullif(F.trim(F.regexp_replace(F.replace(text, F.lit(" "), F.lit(" ")), r"\s+", " ")), F.lit(""))
+    return F.nullif(F.trim(F.regexp_replace(F.replace(text, F.lit(" "), F.lit(" ")), r"(?U)\s+", " ")), F.lit(""))
 
 
 def unescape(text: Column) -> Column:
@@ -28,6 +28,17 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def wikitext(text: Column) -> Column:
+    """Plain text of wiki markup: references and templates go, nested ones from the inside out until none is left; links
+    leave their label; quotes, tags and entities as in HTML."""
+    bare = F.regexp_replace(text, r"(?s)<ref[^>]*>.*?</ref>", "")
+    rounds = F.sequence(F.lit(0), F.size(F.regexp_extract_all(bare, F.lit(r"\{\{"), F.lit(0))))
+    bare = F.aggregate(rounds, bare, lambda x, _: F.regexp_replace(x, r"\{\{[^{}]*\}\}", ""))
+    bare = F.regexp_replace(bare, r"\[\[(?:[^|\]]*\|)?([^\]]+)\]\]", "$1")
+    bare = F.replace(F.replace(bare, F.lit("'''"), F.lit("")), F.lit("''"), F.lit(""))
+    return collapse(unescape(F.regexp_replace(bare, r"<[^>]+>", " ")))
+
+
 def strip_tags(html: Column) -> Column:
     """Text of an HTML fragment: scripts and styles go with their content, other tags become spaces."""
     bare = F.regexp_replace(html, r"(?is)<(script|style|sup)[^>]*>.*?</(script|style|sup)>", " ")

@@ -107,3 +107,23 @@ def adjudicate(labels: DataFrame, items: DataFrame) -> DataFrame:
         F.when(verified, F.col("agreed_gold")).alias("gold"),
         F.when(verified & (F.col("agreed_type") == "unanswerable"), F.lit(True)).otherwise(F.lit(False)).alias("must_abstain"),
     )
+
+
+# Targets of the gates.
+ALPHA, KAPPA = 0.67, 0.60
+
+
+def gate(value: Column, target: float) -> Column:
+    """PASS or FAIL; blank where the statistic is undefined."""
+    return F.when(value.isNull(), " ").when(value >= target, "PASS").otherwise("FAIL")
+
+
+def report(labels: DataFrame) -> DataFrame:
+    """grouping, group, n, alpha, alpha_gate, kappa, kappa_gate: agreement on gold (alpha over MASI) and on status (kappa)
+    over all labels, by corpus, and by the items' question type."""
+    by = {"overall": F.lit("all"), "corpus": F.col("corpus"), "question_type": F.coalesce("i_type", F.lit("unknown"))}
+    own = labels.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("grouping"), v.alias("group")) for k, v in by.items()])).alias("g"))
+    rated = lambda value: own.select(F.concat_ws("\x01", "g.grouping", "g.group").alias("group"), F.concat_ws("/", "corpus", "item_id").alias("unit"), F.col("first_row").alias("rater"), F.col(value).alias("value"))
+    both = masi_alpha(rated("gold")).join(categorical(rated("status")).select("group", "kappa"), "group", "full")
+    both = both.withColumns({"alpha": F.round("alpha", 6), "kappa": F.round("kappa", 6), "g": F.split("group", "\x01")})
+    return both.select(F.get("g", F.lit(0)).alias("grouping"), F.get("g", F.lit(1)).alias("group"), "n", "alpha", gate(F.col("alpha"), ALPHA).alias("alpha_gate"), "kappa", gate(F.col("kappa"), KAPPA).alias("kappa_gate"))

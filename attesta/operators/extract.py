@@ -47,6 +47,49 @@ def carry(rows: DataFrame, group: str, order: str, mark: str) -> DataFrame:
     return rows.withColumn("section", F.last(mark, ignorenulls=True).over(w))
 
 
+def previous_line(rows: DataFrame, group: str, order: str, number: str, original: str, text: str) -> DataFrame:
+    """Rows that have `text`, with `matched`: the last `original` before them in their group, if it has the same number.
+
+    A row has either an original or a text, and a number."""
+    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col(original).isNotNull(), F.struct(F.col(number).alias("n"), F.col(original).alias("o"))), ignorenulls=True).over(w)
+    own = rows.withColumn("_last", last).where(F.col(text).isNotNull())
+    return own.withColumn("matched", F.when(F.col("_last.n") == F.col(number), F.col("_last.o"))).drop("_last")
+
+
+def asof(rows: DataFrame, starts: DataFrame, key: str, start: str) -> DataFrame:
+    """rows with the columns of the last of `starts` at or before their key, null before the first. Starts are unique; a
+    row meets one interval from a start up to the next, so that Spark may broadcast them if they are few."""
+    ends = starts.withColumn("_end", F.lead(start).over(Window.orderBy(start)))
+    return rows.join(ends, (F.col(key) >= F.col(start)) & (F.col("_end").isNull() | (F.col(key) < F.col("_end"))), "left").drop("_end")
+
+
+def supplement(base: DataFrame, side: DataFrame, key: str, column: str) -> DataFrame:
+    """base with `column` taken from a side table where that has one, and `supplied`; rows and their number stay."""
+    own = side.select(key, F.col(column).alias("_side")).where("_side is not null")
+    return base.join(own, key, "left").withColumn("supplied", F.col("_side").isNotNull()).withColumn(column, F.coalesce("_side", column)).drop("_side")
+
+
+def append_missing(base: DataFrame, extra: DataFrame, *key: str) -> DataFrame:
+    """base and those rows of extra whose key base lacks."""
+    return base.unionByName(extra.join(base.select(*key), list(key), "left_anti").select(base.columns))
+
+
+def siblings(rows: DataFrame, container: str, k: int = 3, seed: str = "s") -> DataFrame:
+    """id, sibling, place: for each id k others of its container, in an order by hash, and where a container has fewer,
+    others of all rows. Only the first few of a container, and of all, are joined."""
+    own = rows.select("id", F.col(container).alias("c"), F.md5(F.concat(F.lit(seed), F.col("id").cast("string"))).alias("h"))
+    w = Window.partitionBy("c").orderBy("h", "id")
+    first = own.withColumn("p", F.row_number().over(w)).where(F.col("p") <= k + 1).select("c", F.col("id").alias("sibling"), "h")
+    picks = own.select("id", "c").join(first, "c").where("id <> sibling").select("id", "sibling", "h", F.lit(0).alias("far"))
+    few = own.select("id").join(picks.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "id", "left").where(F.coalesce("n", F.lit(0)) < k).select("id")
+    everywhere = F.broadcast(own.orderBy("h", "id").limit(2 * k + 1).select(F.col("id").alias("sibling"), "h"))  # 2 k + 1 rows
+    fill = few.crossJoin(everywhere).where("id <> sibling").join(picks.select("id", "sibling"), ["id", "sibling"], "left_anti")
+    both = picks.unionByName(fill.select("id", "sibling", "h", F.lit(1).alias("far")))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("far", "h", "sibling"))
+    return both.withColumn("place", place).where(F.col("place") <= k).select("id", "sibling", "place")
+
+
 def monotone(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
     """Rows whose value is above all before it in their group."""
     w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -38,3 +38,18 @@ def assert_clean(rows: DataFrame, what: str) -> None:
     found = rows.limit(5).collect()
     if found:
         raise ValueError(f"{what}: {[r.asDict() for r in found]}")
+
+
+def forbidden_paths(rows: DataFrame, path: str, parts: list[str], folders: list[str]) -> DataFrame:
+    """Rows whose file name holds one of `parts`, or that lie in a folder of one of these names."""
+    steps = F.split(F.col(path), "/")
+    name = F.element_at(steps, -1)
+    inside = F.arrays_overlap(F.slice(steps, F.lit(1), F.greatest(F.size(steps) - 1, F.lit(0))), F.array(*map(F.lit, folders)))
+    return rows.where(F.greatest(inside, *[F.contains(name, F.lit(p)) for p in parts]))
+
+
+def share_known(ids: DataFrame, space: DataFrame, column: str, least: float = 0.95) -> DataFrame:
+    """One row: n distinct ids, n_known of them in the space, share, ok (share is `least` or more; null without ids)."""
+    there = space.select(F.col(column), F.lit(True).alias("there")).distinct()
+    own = ids.select(column).distinct().join(there, column, "left").agg(F.count(F.lit(1)).alias("n"), F.count("there").alias("n_known"))
+    return own.withColumn("share", F.round(F.try_divide("n_known", "n"), 6)).withColumn("ok", F.col("share") >= least)

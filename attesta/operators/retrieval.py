@@ -88,10 +88,12 @@ def fuse(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
     return top(own, k, [F.desc("score"), F.asc_nulls_last("a"), F.asc_nulls_last("b")]).select("item_id", "id", "score", F.col("rank").cast("int").alias("rank"))
 
 
-def rerank(candidates: DataFrame, items: DataFrame, units: DataFrame, score, k: int) -> DataFrame:
-    """score(query text, unit text) as a Column, over candidates (item_id, id, rank) only; ties keep their order."""
-    own = candidates.join(items.select("item_id", F.col("text").alias("query")), "item_id").join(units.select("id", F.col("text").alias("passage")), "id")
-    own = own.select("item_id", "id", F.col("rank").alias("before"), F.round(score(F.col("query"), F.col("passage")), 6).alias("score"))
+def rerank(candidates: DataFrame, items: DataFrame, units: DataFrame, score, k: int, limit: int | None = None) -> DataFrame:
+    """score(query text, unit text) as a Column, over candidates (item_id, id, rank) only; ties keep their order. limit:
+    characters of a text that the scorer reads, 4,000 for the usual models. Candidates without a text count as empty."""
+    cut = lambda c: F.substring(c, 1, limit) if limit else F.col(c)
+    own = candidates.join(items.select("item_id", cut("text").alias("query")), "item_id").join(units.select("id", cut("text").alias("passage")), "id", "left")
+    own = own.select("item_id", "id", F.col("rank").alias("before"), F.round(score(F.col("query"), F.coalesce("passage", F.lit(""))), 6).alias("score"))
     return top(own, k, [F.desc("score"), "before"]).select("item_id", "id", "score", F.col("rank").cast("int").alias("rank"))
 
 

@@ -21,14 +21,19 @@ def existing(outputs: DataFrame, units: DataFrame) -> DataFrame:
 
 def score_items(rows: DataFrame, near=None) -> DataFrame:
     """One row per item with gold, near_miss, must_abstain, answerable, cited, retrieved, existing, abstained: all its
-    scores. near(c, g): adjacency for the span measures, equality by default."""
+    scores. near(c, g): adjacency for the span measures, equality by default. support, where rows have it, maps ids to a
+    judge's labels, which go before gold: without one, gold ids are "full", others "none"."""
     near = near or (lambda c, g: c == g)
     c, g = F.array_distinct("cited"), F.array_distinct("gold")
     wrong = F.array_except(c, g)
     exact, span = sets.exact_prf(c, g), sets.span_prf(c, g, near)
     exist_error = F.size(F.array_except(c, F.col("existing"))) > 0
-    support_error = F.size(F.array_except(F.col("existing"), g)) > 0
-    kept = [x for x in rows.columns if x not in ("gold", "near_miss", "cited", "retrieved", "existing")]
+    label = lambda x: F.when(F.array_contains(g, x), "full").otherwise("none")
+    if "support" in rows.columns:
+        known = F.coalesce("support", F.create_map().cast("map<string,string>"))
+        judged = lambda x: F.coalesce(F.element_at(known, x), label(x))
+    support_error = F.exists("existing", lambda x: (judged if "support" in rows.columns else label)(x) == "none")
+    kept = [x for x in rows.columns if x not in ("gold", "near_miss", "cited", "retrieved", "existing", "support")]
     return rows.select(
         *kept,
         F.size(c).cast("long").alias("n_cited"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attesta.functions.text import strip_tags
+from attesta.functions.text import strip_tags, wikitext
 from attesta.operators import extract
 from attesta.plans.model import load
 
@@ -100,9 +100,8 @@ BANDS = ((1, 10, "small"), (11, 25, "medium"), (26, 45, "large"))
 
 @query("WITH p(start, name) AS (VALUES " + ", ".join(f"(TIMESTAMP '{a}', '{b}')" for a, b in PERIODS) + ") SELECT o_orderkey, (SELECT arg_max(name, start) FROM p WHERE start <= o_orderdate) AS period FROM orders")
 def asof_part_lookup(spark, sf):
-    periods = F.array(*[F.struct(F.lit(a).cast("timestamp_ntz").alias("start"), F.lit(b).alias("name")) for a, b in PERIODS])
-    last = F.array_max(F.filter(periods, lambda p: p["start"] <= F.col("o_orderdate")))
-    return load(spark, sf, "orders").select("o_orderkey", last["name"].alias("period"))
+    starts = spark.createDataFrame(PERIODS, "start string, period string").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return extract.asof(load(spark, sf, "orders"), starts, "o_orderdate", "start").select("o_orderkey", "period")
 
 
 @query("WITH b(lo, hi, name) AS (VALUES " + ", ".join(f"({a}, {b}, '{c}')" for a, b, c in BANDS) + ") SELECT p_partkey, name AS band FROM part LEFT JOIN b ON p_size BETWEEN lo AND hi")
@@ -135,11 +134,14 @@ def coverage_profile(spark, sf):
     return load(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count("text").alias("n_text"), F.count("source").alias("n_source"), F.round(100.0 * F.count("text") / F.count(F.lit(1)), 2).alias("pct"))
 
 
-@query("WITH e(role, expected) AS (VALUES ('user', 2), ('assistant', 2), ('system', 1)), a AS (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY 1, 2) SELECT conv_id, role, n, CAST(expected AS BIGINT) AS expected FROM a JOIN e USING (role) WHERE n <> expected")
+@query("WITH e(role, expected) AS (VALUES ('user', 2), ('assistant', 2), ('system', 1)), c AS (SELECT DISTINCT conv_id FROM conversations), a AS (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY 1, 2) SELECT c.conv_id, e.role, coalesce(n, 0) AS n, CAST(expected AS BIGINT) AS expected FROM c CROSS JOIN e LEFT JOIN a ON a.conv_id = c.conv_id AND a.role = e.role WHERE coalesce(n, 0) <> expected")
 def expected_vs_actual(spark, sf):
-    expected = F.broadcast(spark.createDataFrame([("user", 2), ("assistant", 2), ("system", 1)], "role string, expected long"))  # a fixed list
+    """Starts from what is expected, so that a role without a row is reported as well."""
+    expected = spark.createDataFrame([("user", 2), ("assistant", 2), ("system", 1)], "role string, expected long")
     own = load(spark, sf, "conversations").groupBy("conv_id", "role").agg(F.count(F.lit(1)).alias("n"))
-    return own.join(expected, "role").where("n <> expected").select("conv_id", "role", "n", "expected")
+    spine = own.select("conv_id").distinct().crossJoin(F.broadcast(expected))  # a fixed list
+    own = spine.join(own, ["conv_id", "role"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return own.where("n <> expected").select("conv_id", "role", "n", "expected")
 
 
 @query("SELECT CASE WHEN length(url) > 20 THEN url[:17] || '...' ELSE url END AS source, count(*) AS n FROM pages GROUP BY 1")
@@ -153,3 +155,64 @@ def signature_align(spark, sf):
     """Rows only: the users' turns of each conversation against the same turns with small changes of spelling."""
     own = load(spark, sf, "conversations").where("role = 'user'").select(F.col("conv_id").cast("string").alias("group"), F.col("turn").alias("ord"), "text")
     return extract.align(own, own.withColumn("text", F.regexp_replace(F.lower("text"), "th", "t")))
+
+
+_TEMPLATES = "regexp_replace({0}, '\\{{\\{{[^{{}}]*\\}}\\}}', '', 'g')"
+
+
+@query(f"""WITH w AS (SELECT p_partkey, '{{{{a|{{{{b ' || p_size || '}}}} {{{{c}}}}}}}}' || repeat(chr(39), 3) || p_name || repeat(chr(39), 3) || ' [[Part|' || p_type || ']] and [[plain]]<ref name="x">gone' || chr(10) || 'for good</ref> <b>x &amp; y</b>{{{{z}}}}' AS t FROM part),
+r AS (SELECT p_partkey, regexp_replace(t, '(?s)<ref[^>]*>.*?</ref>', '', 'g') AS t FROM w),
+m AS (SELECT p_partkey, {_TEMPLATES.format(_TEMPLATES.format(_TEMPLATES.format('t')))} AS t FROM r),
+l AS (SELECT p_partkey, replace(replace(regexp_replace(t, '\\[\\[(?:[^|\\]]*\\|)?([^\\]]+)\\]\\]', '\\1', 'g'), repeat(chr(39), 3), ''), repeat(chr(39), 2), '') AS t FROM m)
+SELECT p_partkey, trim(regexp_replace(replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM l""")
+def wikitext_clean(spark, sf):
+    """Part names in markup with nested templates."""
+    bold = F.lit("'''")
+    made = F.concat(F.lit("{{a|{{b "), "p_size", F.lit("}} {{c}}}}"), bold, "p_name", bold, F.lit(" [[Part|"), "p_type", F.lit(']] and [[plain]]<ref name="x">gone\nfor good</ref> <b>x &amp; y</b>{{z}}'))
+    return load(spark, sf, "part").select("p_partkey", wikitext(made).alias("text"))
+
+
+@query("WITH c AS (SELECT conv_id, turn, turn // 2 AS num, CASE WHEN role = 'user' THEN text END AS orig, CASE WHEN role = 'assistant' THEN text END AS en FROM conversations), p AS (SELECT *, last_value(CASE WHEN orig IS NOT NULL THEN {'n': num, 'o': orig} END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM c) SELECT conv_id, turn, CASE WHEN l.n = num THEN l.o END AS matched FROM p WHERE en IS NOT NULL")
+def previous_line_match(spark, sf):
+    own = load(spark, sf, "conversations").select("conv_id", "turn", F.floor(F.col("turn") / 2).alias("num"), F.when(F.col("role") == "user", F.col("text")).alias("orig"), F.when(F.col("role") == "assistant", F.col("text")).alias("en"))
+    return extract.previous_line(own, "conv_id", "turn", "num", "orig", "en").select("conv_id", "turn", "matched")
+
+
+@query("SELECT p_partkey, coalesce(s_name, p_name) AS name, s_name IS NOT NULL AS supplied FROM part LEFT JOIN supplier ON p_partkey = s_suppkey * 3")
+def supplement_join(spark, sf):
+    side = load(spark, sf, "supplier").select((F.col("s_suppkey") * 3).alias("p_partkey"), F.col("s_name").alias("name"))
+    return extract.supplement(load(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name")), side, "p_partkey", "name")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_nationkey, upper(n_name) FROM nation WHERE n_nationkey % 2 <> 0")
+def append_missing_rows(spark, sf):
+    own = load(spark, sf, "nation").select("n_nationkey", "n_name")
+    return extract.append_missing(own.where("n_nationkey % 2 = 0"), own.withColumn("n_name", F.upper("n_name")), "n_nationkey")
+
+
+@query("WITH o AS (SELECT doc_id AS id, n_chars // 50 AS c, md5('s' || doc_id) AS h FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY h, id) AS p FROM o), pk AS (SELECT o.id, r.id AS sibling, r.h, 0 AS far FROM o JOIN r ON o.c = r.c AND r.p <= 4 AND r.id <> o.id), few AS (SELECT o.id FROM o LEFT JOIN pk ON pk.id = o.id GROUP BY 1 HAVING count(pk.sibling) < 3), ev AS (SELECT id AS sibling, h FROM o ORDER BY h, id LIMIT 7), al AS (SELECT * FROM pk UNION ALL SELECT few.id, ev.sibling, ev.h, 1 FROM few, ev WHERE few.id <> ev.sibling AND NOT EXISTS (SELECT 1 FROM pk WHERE pk.id = few.id AND pk.sibling = ev.sibling)) SELECT id, sibling, CAST(row_number() OVER (PARTITION BY id ORDER BY far, h, sibling) AS INTEGER) AS place FROM al QUALIFY place <= 3")
+def sibling_sample(spark, sf):
+    """Documents of like length as containers, some of them with too few."""
+    own = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.floor(F.col("n_chars") / 50).alias("c"))
+    return extract.siblings(own, "c")
+
+
+# Chapters of one edition that another numbers from 1, and names that a source may write otherwise.
+OVERLAP = (23, 40)
+ALIASES = {"UNITED STATES": ("UNITED STATES", "USA"), "UNITED KINGDOM": ("UNITED KINGDOM", "UK")}
+
+
+@query("SELECT a.conv_id || '.' || a.turn AS id, b.conv_id || '.' || b.turn AS other FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id - 22 AND b.turn = a.turn WHERE a.conv_id BETWEEN 23 AND 40")
+def overlap_map(spark, sf):
+    """Ids of one edition's chapters 23 to 40 beside the other's 1 to 18, by arithmetic on the key."""
+    own = load(spark, sf, "conversations").select("conv_id", "turn", F.concat_ws(".", "conv_id", "turn").alias("id"))
+    shifted = own.where(F.col("conv_id").between(*OVERLAP)).withColumn("conv_id", F.col("conv_id") - (OVERLAP[0] - 1))
+    return shifted.join(own.withColumnRenamed("id", "other"), ["conv_id", "turn"]).select("id", "other")
+
+
+@query("SELECT n_nationkey, n_name, list_contains(CASE n_name WHEN 'UNITED STATES' THEN ['UNITED STATES', 'USA'] WHEN 'UNITED KINGDOM' THEN ['UNITED KINGDOM', 'UK'] ELSE [n_name] END, CASE WHEN n_nationkey % 3 = 0 THEN lower(n_name) ELSE n_name END) AS accepted FROM nation")
+def alias_check(spark, sf):
+    said = F.when(F.col("n_nationkey") % 3 == 0, F.lower("n_name")).otherwise(F.col("n_name"))
+    names = F.create_map(*[x for k, v in ALIASES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    accepted = F.array_contains(F.coalesce(F.element_at(names, F.col("n_name")), F.array("n_name")), said)
+    return load(spark, sf, "nation").select("n_nationkey", "n_name", accepted.alias("accepted"))

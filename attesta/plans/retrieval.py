@@ -233,3 +233,11 @@ def diagnose_counters(spark, sf):
 @query("SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS BIGINT) AS tokens FROM documents")
 def unit_tokens(spark, sf):
     return load(spark, sf, "documents").select("doc_id", token_count(F.col("text")).cast("long").alias("tokens"))
+
+
+@query(f"""WITH {SQL_FUSED}, c AS (SELECT f.item_id, f.id, f.rank AS before, {TOKENS.format('b.text[:4000]')} AS q, {TOKENS.format('d.text[:4000]')} AS t FROM fr f JOIN benchmark b ON b.item_id = f.item_id LEFT JOIN documents d ON CAST(d.doc_id AS VARCHAR) = f.id WHERE f.rank <= 50),
+s AS (SELECT item_id, id, before, CASE WHEN len(q) > 0 THEN round(len(list_intersect(list_distinct(q), t)) / CAST(len(list_distinct(q)) AS DOUBLE), 6) ELSE 0.0 END AS score FROM c)
+SELECT item_id, id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, before) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
+def recall_then_rerank(spark, sf):
+    """Both lists at depth 50, fused, then reranked over texts cut at 4,000 characters."""
+    return R.rerank(_fused(spark, sf, 50), items(spark, sf), units(spark, sf), R.overlap_score, 5, limit=4000)

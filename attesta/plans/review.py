@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from attesta.functions import ids, sets
 from attesta.functions.text import filename
-from attesta.operators import agreement as A, release, sweep, validate
+from attesta.operators import agreement as A, release, scoring, sweep, validate
 from attesta.plans.model import SQL_ITEMS, SQL_LATEST, benchmark_items, load, review_items, units, verdicts
 
 QUERIES, SQL = {}, {}
@@ -130,6 +132,11 @@ def _rule_items(spark, sf):
     own = own.withColumn("question_type", F.when(i % 7 == 0, "lookup").when(F.col("must_abstain"), "unanswerable").otherwise("factual"))
     own = own.withColumn("ambiguity", F.when(i % 11 == 0, F.lit(None).cast("string")).otherwise("low"))
     own = own.withColumn("abstain_reason", F.when(i % 2 == 0, "not covered"))
+    said = F.struct(F.when(i % 3 == 0, "-2").alias("citation"), F.when(i % 4 == 0, "strong").otherwise("full").alias("support"))
+    own = own.withColumn("answer_support", F.when(i % 2 == 0, F.array(said)).otherwise(F.array().cast("array<struct<citation:string,support:string>>")))
+    asked = F.struct(F.when(i % 8 == 0, " ").otherwise("asked").alias("question"), F.lit("a").alias("gold_answer"))
+    own = own.withColumn("translations", F.when(i % 4 == 0, F.create_map(F.lit("hi"), asked)).when(i % 4 == 1, F.create_map(F.lit("xx"), asked)))
+    own = own.withColumn("translations_json", F.when(i % 9 == 0, "[1]").when(i % 9 == 1, '{"hi": {}}'))
     return own.withColumn("gold", F.when(i % 5 == 0, F.concat("gold", F.array(F.lit("-1")))).otherwise(F.col("gold")))
 
 
@@ -139,18 +146,27 @@ iss AS (SELECT item_id, 'error' AS level, 'question_type' AS rule FROM it WHERE
 UNION ALL SELECT item_id, 'error', 'empty_question' FROM it WHERE trim(text) = '' UNION ALL SELECT item_id, 'error', 'gold_not_in_space' FROM it WHERE item_id % 5 = 0
 UNION ALL SELECT item_id, 'error', 'abstain_mismatch' FROM it WHERE (qt = 'unanswerable') <> must_abstain UNION ALL SELECT item_id, 'error', 'abstain_with_gold' FROM it WHERE must_abstain AND g > 0
 UNION ALL SELECT item_id, 'warn', 'no_abstain_reason' FROM it WHERE must_abstain AND item_id % 2 = 1 UNION ALL SELECT item_id, 'error', 'no_gold' FROM it WHERE NOT must_abstain AND g = 0
-UNION ALL SELECT item_id, 'warn', 'few_distractors' FROM it WHERE qt = 'factual' AND nn < 2)"""
+UNION ALL SELECT item_id, 'warn', 'few_distractors' FROM it WHERE qt = 'factual' AND nn < 2
+UNION ALL SELECT DISTINCT item_id, 'error', 'gold_grammar' FROM gold WHERE CAST(id AS BIGINT) % 10 = 7
+UNION ALL SELECT item_id, 'warn', 'support_not_in_gold' FROM it WHERE item_id % 6 = 0 UNION ALL SELECT item_id, 'error', 'support_label' FROM it WHERE item_id % 4 = 0
+UNION ALL SELECT item_id, 'error', 'translations_kind' FROM it WHERE item_id % 9 = 0 UNION ALL SELECT item_id, 'error', 'translation_lang' FROM it WHERE item_id % 4 = 1
+UNION ALL SELECT item_id, 'error', 'translation_question' FROM it WHERE item_id % 8 = 0)"""
+
+
+def _parses(c):
+    """A grammar that ids ending in 7 don't keep to."""
+    return F.coalesce(c.try_cast("long") % 10 != 7, F.lit(False))
 
 
 @query(f"WITH {SQL_RULES} SELECT * FROM iss")
 def item_validation_issues(spark, sf):
-    return validate.issues(_rule_items(spark, sf), units(spark, sf))
+    return validate.issues(_rule_items(spark, sf), units(spark, sf), _parses)
 
 
 @query(f"WITH {SQL_RULES} SELECT (SELECT count(*) FROM benchmark) AS n_items, count(*) FILTER (level = 'error') AS n_errors, count(*) FILTER (level = 'warn') AS n_warnings, count(DISTINCT item_id) FILTER (level = 'error') AS n_bad_items, CAST(0 AS BIGINT) AS n_duplicates, count(*) FILTER (level = 'error') = 0 AS ok FROM iss")
 def item_validation_summary(spark, sf):
     own = _rule_items(spark, sf)
-    return validate.summary(own, validate.issues(own, units(spark, sf)))
+    return validate.summary(own, validate.issues(own, units(spark, sf), _parses))
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -236,3 +252,48 @@ def sweep_summary(spark, sf):
 @query("SELECT DISTINCT c_name, coalesce(nullif(regexp_replace(c_name, '[^\\p{L}\\p{N}_-]', '', 'g'), ''), 'anon') AS file FROM customer")
 def file_names(spark, sf):
     return load(spark, sf, "customer").select("c_name", filename(F.col("c_name")).alias("file")).distinct()
+
+
+SQL_REPORT = """lb AS (SELECT 'overall' AS g, 'all' AS v, * FROM eff UNION ALL SELECT 'corpus', corpus, * FROM eff UNION ALL SELECT 'question_type', coalesce(i_type, 'unknown'), * FROM eff)"""
+
+
+def _alone(sql: str, tag: str) -> str:
+    """The relations of sql under names of their own."""
+    return re.sub(r"\b(ra|vc|ob|po|ex|nn|al|pu|pb|pj|kp|rt)\b", lambda m: f"{tag}_{m[1]}", sql)
+
+
+@query(f"""WITH {SQL_LATEST}, {SQL_REPORT}, a_rt AS (SELECT g || '|' || v AS grp, corpus || '/' || item_id AS unit, gold AS value FROM lb), {_alone(SQL_ALPHA, 'a')},
+k_rt AS (SELECT g || '|' || v AS grp, corpus || '/' || item_id AS unit, first_row AS rater, status AS value FROM lb), {_alone(SQL_FLEISS, 'k')},
+b AS (SELECT coalesce(x.grp, y.grp) AS grp, x.n, round(x.alpha, 6) AS alpha, round(y.kappa, 6) AS kappa FROM a_al x FULL JOIN k_kp y ON x.grp = y.grp)
+SELECT string_split(grp, '|')[1] AS "grouping", string_split(grp, '|')[2] AS "group", n, alpha, CASE WHEN alpha IS NULL THEN ' ' WHEN alpha >= 0.67 THEN 'PASS' ELSE 'FAIL' END AS alpha_gate,
+  kappa, CASE WHEN kappa IS NULL THEN ' ' WHEN kappa >= 0.6 THEN 'PASS' ELSE 'FAIL' END AS kappa_gate FROM b""")
+def agreement_report(spark, sf):
+    return A.report(_labels(spark, sf))
+
+
+@query("""WITH x AS (SELECT l_orderkey AS o, l_partkey AS p, min(l_linenumber) AS ln, min(l_returnflag) AS rf, min(l_suppkey) % 5 AS sm FROM lineitem GROUP BY 1, 2),
+s AS (SELECT o, p % 17 <> 0 AS there, coalesce(CASE sm WHEN 0 THEN 'none' WHEN 1 THEN 'partial' END, CASE WHEN rf <> 'N' THEN 'full' ELSE 'none' END) = 'none' AS bad FROM x WHERE ln <= 3)
+SELECT o AS item_id, bool_or(NOT there) AS exist_error, bool_or(there AND bad) AS support_error, bool_or(NOT there OR bad) AS misattributed FROM s GROUP BY 1""")
+def misattribution_by_support(spark, sf):
+    """Orders as answers that cite parts; suppliers stand for a judge's labels, which overrule gold both ways."""
+    own = load(spark, sf, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("ln"), F.min("l_returnflag").alias("rf"), (F.min("l_suppkey") % 5).alias("sm"))
+    part = F.col("l_partkey").cast("string")
+    label = F.when(F.col("sm") == 0, "none").when(F.col("sm") == 1, "partial")
+    some = lambda c: F.collect_set(F.when(c, part))
+    rows = own.groupBy(F.col("l_orderkey").alias("item_id")).agg(
+        some(F.col("rf") != "N").alias("gold"), some(F.col("ln") <= 3).alias("cited"), some((F.col("ln") <= 3) & (F.col("l_partkey") % 17 != 0)).alias("existing"),
+        F.map_from_entries(F.filter(F.collect_list(F.struct(part.alias("k"), label.alias("v"))), lambda x: x["v"].isNotNull())).alias("support"),
+    )
+    none = F.array().cast("array<string>")
+    rows = rows.where(F.size("cited") > 0).withColumns({"near_miss": none, "retrieved": none, "must_abstain": F.lit(False), "abstained": F.lit(False)})
+    return scoring.score_items(rows).select("item_id", "exist_error", "support_error", "misattributed")
+
+
+@query("SELECT page_id, url FROM pages WHERE contains(string_split(url, '/')[-1], '82') OR len(list_intersect(string_split(url, '/')[:-2], ['fr', 'de'])) > 0")
+def release_forbidden_paths(spark, sf):
+    return release.forbidden_paths(load(spark, sf, "pages"), "url", ["82"], ["fr", "de"]).select("page_id", "url")
+
+
+@query("WITH i AS (SELECT DISTINCT doc_id FROM labels), j AS (SELECT count(*) AS n, count(d.doc_id) AS n_known FROM i LEFT JOIN (SELECT DISTINCT doc_id FROM documents) d USING (doc_id)) SELECT n, n_known, round(n_known / CAST(n AS DOUBLE), 6) AS share, n_known / CAST(n AS DOUBLE) >= 0.95 AS ok FROM j")
+def gold_quality_gate(spark, sf):
+    return release.share_known(load(spark, sf, "labels"), load(spark, sf, "documents"), "doc_id")
