@@ -26,13 +26,14 @@ UNITS = (
 )
 NUMBER = r"[0-9]+(?:[.,:][0-9]+)*"
 UNIT = rf"({NUMBER}) ?({UNITS})([^\p{{L}}\p{{N}}]|$)"
-NAME = r"([\p{Ll},;] )(\p{Lu}\p{L}*(?: \p{Lu}\p{L}*)*)"
+NAME = r"(^|[^\p{L}\p{N}])(\p{Lu}\p{L}*(?: \p{Lu}\p{L}*)*)"
 SPLIT = r"[^\p{L}\p{N}§]+"
 SLOTS = ("§n", "§u", "§d")
 
 
 def template(text: Column) -> Column:
-    """The words of a text's template: lower case, §n for a name in running text, §d for a number, §u for its unit."""
+    """The words of a text's template: lower case, §n for capitalised words (names, and whatever
+    begins a sentence, alike on both sides), §d for a number, §u for its unit."""
     x = F.regexp_replace(F.coalesce(text, F.lit("")), "§", " ")
     x = F.regexp_replace(x, NAME, "$1 §n ")
     x = F.when(F.rlike(x, F.lit("[0-9]")), F.regexp_replace(F.regexp_replace(F.lower(x), UNIT, "$1 §u $3"), NUMBER, " §d ")).otherwise(F.lower(x))
@@ -50,15 +51,20 @@ def values(text: Column) -> Column:
     return F.create_map(F.lit("§n"), names, F.lit("§u"), units, F.lit("§d"), numbers)
 
 
-def windows(words: Column) -> Column:
-    """Hashes of all windows of WINDOW words, in order; of fewer words, one of all together with their number."""
+def plain(text: Column) -> Column:
+    """A text's words in lower case, numbers left out."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), "")
+
+
+def windows(words: Column, text: Column) -> Column:
+    """Hashes of all windows of WINDOW template words, in order; of a text with fewer, one of its plain words together."""
     n = F.size(words)
     hashed = F.transform(words, lambda w: F.xxhash64(w))
 
     def all_of(h: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(WINDOW)]))
 
-    short = F.array(F.xxhash64(n, F.array_join(words, " ")))
+    short = F.array(F.xxhash64(F.lit("short"), F.array_join(plain(text), " ")))
     full = F.get(F.transform(F.array(hashed), all_of), F.lit(0))
     return F.when(n >= WINDOW, full).when(n > 0, short).otherwise(F.array().cast("array<bigint>"))
 
@@ -73,13 +79,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, cover: float = COVER, id_col
     """One row per document and item that it leaks: key, mark (see `clean`), doc_id, item_id, n_windows (distinct
     windows of the item), n_found, coverage, n_slots (distinct slot values of the item), n_consistent.
 
+    A document must hold `cover` of an item's windows or, of five or more, all but two, as words that touch a passage
+    spoil its first and last one.
+
     benchmark: item_id, text. Null and empty texts leak nothing; items whose windows are all placeholders (under two
     other words) are never found; items under WINDOW words are found only in documents of the same words; null ids
     are kept; rows that repeat are reported once; empty tables give no rows; other columns are not read.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), template(F.col("text").cast("string")).alias("words"), F.col("text").cast("string").alias("asked"))
-    placed = items.select("item_id", F.posexplode(windows(F.col("words"))).alias("at", "window"), "words")
-    other = F.size(F.filter(F.slice("words", F.col("at") + 1, WINDOW), lambda w: ~w.isin(*SLOTS)))
+    placed = items.select("item_id", F.posexplode(windows(F.col("words"), F.col("asked"))).alias("at", "window"), "words", "asked")
+    own_words = F.when(F.size("words") >= WINDOW, F.slice("words", F.col("at") + 1, WINDOW)).otherwise(plain(F.col("asked")))
+    other = F.size(F.filter(own_words, lambda w: ~w.isin(*SLOTS)))
     placed = durable(placed.where(other >= 2).select("item_id", "window").distinct(), "windows")
     sizes = placed.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
     if placed.count() <= BROADCAST_WINDOWS:
@@ -88,17 +98,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, cover: float = COVER, id_col
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     own = docs.select(key.alias("key"), F.xxhash64(text).alias("mark"), F.col(id_col).cast("long").alias("doc_id"), text.alias("body"))
-    seen = own.select("key", "mark", "doc_id", F.explode(windows(template(F.col("body")))).alias("window"))
+    seen = own.select("key", "mark", "doc_id", F.explode(windows(template(F.col("body")), F.col("body"))).alias("window"))
     found = seen.join(placed, "window").groupBy("key", "mark", "doc_id", "item_id").agg(F.count_distinct("window").alias("n_found"))
     found = found.join(sizes, "item_id").withColumn("coverage", F.col("n_found") / F.col("n_windows"))
     # words that touch the passage without a space spoil its first and last window
-    found = found.where((F.col("coverage") >= cover) | (F.col("n_found") >= F.greatest(F.col("n_windows") - 2, F.lit(2))))
+    found = found.where((F.col("coverage") >= cover) | (F.col("n_windows") >= 5) & (F.col("n_found") >= F.col("n_windows") - 2))
     found = durable(found, "found")
 
-    asked = items.where(F.exists("words", lambda w: w.isin(*SLOTS))).select("item_id", F.col("words").alias("theirs"), values(F.col("asked")).alias("their_values"))
+    asked = items.where(F.exists("words", lambda w: w.isin(*SLOTS))).select("item_id", F.col("words").alias("theirs"), "asked", values(F.col("asked")).alias("their_values"))
     checked = found.join(asked, "item_id").join(own.select("key", "mark", "body"), ["key", "mark"]).dropDuplicates(["key", "mark", "item_id"])
     checked = checked.withColumn("ours", template(F.col("body"))).withColumn("our_values", values(F.col("body")))
-    checked = checked.withColumn("our_windows", windows(F.col("ours"))).withColumn("their_windows", windows(F.col("theirs")))
+    checked = checked.withColumn("our_windows", windows(F.col("ours"), F.col("body"))).withColumn("their_windows", windows(F.col("theirs"), F.col("asked")))
     checked = checked.withColumn("our_slots", _positions(F.col("ours"))).withColumn("their_slots", _positions(F.col("theirs")))
 
     def pair(s: Column) -> Column:
@@ -117,7 +127,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, cover: float = COVER, id_col
     pairs = F.array_distinct(F.filter(F.transform("their_slots", pair), lambda p: p["there"].isNotNull()))
     checked = checked.withColumn("pairs", pairs).withColumn("slots", F.array_distinct(F.transform("pairs", lambda p: F.struct(p["slot"], p["here"]))))
     one = F.size(F.filter("slots", lambda s: F.size(F.filter("pairs", lambda p: (p["slot"] == s["slot"]) & (p["here"] == s["here"]))) == 1))
-    checked = checked.select("key", "mark", "item_id", F.size("slots").cast("long").alias("n_slots"), one.cast("long").alias("n_consistent"))
+    # a document may hold a like phrase before the item itself: the item word for word goes with its own values
+    said = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")
+    verbatim = F.contains(said("body"), F.trim(said("asked")))
+    checked = checked.select("key", "mark", "item_id", F.size("slots").cast("long").alias("n_slots"), F.when(verbatim, F.size("slots")).otherwise(one).cast("long").alias("n_consistent"))
     out = found.join(checked, ["key", "mark", "item_id"], "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_slots", "n_consistent")})
     return out.where(F.col("n_consistent") >= CONSISTENT * F.col("n_slots")).select("key", "mark", "doc_id", "item_id", "n_windows", "n_found", "coverage", "n_slots", "n_consistent")
 

@@ -28,6 +28,24 @@ def test_leaks(spark, docs):
     assert decontaminate.leaks(docs([]), items).count() == 0 and decontaminate.leaks(docs(rows), bench(spark, [])).count() == 0
 
 
+def test_leaks_of_questions_that_begin_with_names(spark, docs):
+    asked = "Tom has 12 apples and gives 5 apples to Mary. Mary then buys three more at the shop. How many apples does Tom have now?"
+    again = "Anna has 30 apples and gives 9 apples to Jane. Jane then buys three more at the shop. How many apples does Anna have now?"
+    mixed = "Anna has 30 apples and gives 9 apples to Jane. Lucy then buys three more at the shop. How many apples does Karl have now?"
+    money = "After Tom pays 5 dollars for the red bag how much money does Tom have"
+    items = bench(spark, [(1, asked), (2, money), (3, "seven plain words that nobody else says")])
+    rows = [(1, again), (2, mixed), (3, "Before that, tell us how much money does Karl have. " + money), (4, "seven plain words that nobody ever wrote"), (5, "So, seven plain words that nobody else says!")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs(rows), items).collect()}
+    assert got == {(1, 1), (3, 2), (5, 3)}
+
+
+def test_leaks_of_odd_rows(spark, docs, odd):
+    items = bench(spark, [(1, prose(25, 5)), (2, None)])
+    assert decontaminate.leaks(docs(odd), items).count() == 0
+    long = (7, prose(30_000, 7) + " " + prose(25, 5) + " " + prose(30_000, 8))
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs([*odd, long, long]), items).collect()] == [(7, 1)]
+
+
 def test_leaks_without_broadcast(spark, docs, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
     items = bench(spark, [(i, prose(20, i)) for i in range(5)])
