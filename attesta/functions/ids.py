@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Grammar of a corpus' ids. Corpora that aren't listed match exactly only.
+# The names of the corpora and the grammar of their ids. Corpora that aren't listed match exactly only.
 GRAMMAR = {
     "bhagavad_gita": "chapter", "guru_granth_sahib": "ang", "dhammapada": "dotted", "yoga_sutras": "dotted",
     "ramayana": "dotted", "mahabharata": "dotted", "thirukkural": "flat", "bible": "book",
