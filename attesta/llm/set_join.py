@@ -25,46 +25,34 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from attesta.llm.common import arrow_rows, connected_components, durable, release
+from attesta.llm.words import C, batch_ids, mix
 
-_WORDS: dict[bytes, int] = {}
 #: Sets that share a least set and are paired with each other; more of them go by prefixes.
 FEW = 4
 #: Sets, or texts, that a Python function holds at a time.
 ROWS = 500
 #: Share of a set's size that its spare keys make up: c - 1 of them.
 SPARE = 1 / 16
-_C = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(x):
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+def batch_shingles(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
+    """Each text's sorted distinct 64-bit ids of word shingles: A-Z lowered, words cut at ASCII white space; a shorter
+    text is one shingle, a text without words none."""
+    for x, w in zip(texts, batch_ids(texts)):
+        if w.size < width:
+            own = [xxhash.xxh3_64_intdigest(b" ".join(x.lower().split()), seed=w.size)] if w.size else []
+            yield np.asarray(own, dtype=np.uint64)
+            continue
+        n = w.size - width + 1
+        h = w[:n]
+        for j in range(1, width):
+            h = mix(h * C + w[j : n + j])
+        h = np.sort(h)
+        yield h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit ids of a text's word shingles: A-Z lowered, words cut at ASCII white space; a shorter
-    text is one shingle, a text without words none."""
-    found = text.lower().split()
-    if not found:
-        return np.empty(0, dtype=np.uint64)
-    if len(found) < width:
-        return np.asarray([xxhash.xxh3_64_intdigest(b" ".join(found), seed=len(found))], dtype=np.uint64)
-    if len(_WORDS) > 200_000:
-        _WORDS.clear()
-    get, ids = _WORDS.get, None
-    ids = [get(w) for w in found]
-    if None in ids:
-        for i, v in enumerate(ids):
-            if v is None:
-                ids[i] = _WORDS[found[i]] = xxhash.xxh3_64_intdigest(found[i])
-    w = np.array(ids, dtype=np.uint64)
-    n = w.size - width + 1
-    h = w[:n]
-    for j in range(1, width):
-        h = _mix(h * _C + w[j : n + j])
-    h = np.sort(h)
-    return h[np.concatenate(([True], h[1:] != h[:-1]))]
+    return next(batch_shingles([text], width))
 
 
 class Bands:
@@ -118,7 +106,7 @@ def _seed(band: int) -> np.uint64:
 
 def _parts(ids: np.ndarray, band: int, m: int):
     """Value and segment of each shingle; number of shingles in each segment."""
-    value = _mix(ids ^ _seed(band))
+    value = mix(ids ^ _seed(band))
     segment = ((value >> np.uint64(40)) % np.uint64(m)).astype(np.int64)
     return value, segment, np.bincount(segment, minlength=m)
 
@@ -145,14 +133,14 @@ def keys(ids: np.ndarray, band: int, m: int, c: int, s: int, deep: int) -> np.nd
     high = np.bincount(segment, weights=(value >> np.uint64(32)).astype(np.float64), minlength=m).astype(np.uint64)
     total = (high << np.uint64(32)) + low
     own = np.uint64((band + 1) * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF)
-    tag = np.arange(m, dtype=np.uint64) * _C + own
-    out = _mix(total + _mix(tag))
+    tag = np.arange(m, dtype=np.uint64) * C + own
+    out = mix(total + mix(tag))
     if int((count == 0).sum()) <= s:
         return out[count > 0]
     out = out if deep > m else out[count > 0]
     if deep:
         at = np.flatnonzero((segment < deep) & (count[segment] > 1))
-        out = np.concatenate((out, _mix(total[segment[at]] - value[at] + _mix(tag[segment[at]]))))
+        out = np.concatenate((out, mix(total[segment[at]] - value[at] + mix(tag[segment[at]]))))
     return out
 
 
@@ -174,8 +162,7 @@ def profile(docs: DataFrame, width: int, percent: int) -> DataFrame:
         for batch in batches:
             rows = []
             with np.errstate(over="ignore"):
-                for x in _texts(batch):
-                    ids = shingles(x, width)
+                for ids in batch_shingles(_texts(batch), width):
                     if not ids.size:
                         rows.append((0, None, None, None, None, None))
                         continue
@@ -195,8 +182,7 @@ def index(docs: DataFrame, width: int, percent: int, deep: dict[int, int]) -> Da
         for batch in batches:
             found, nodes, roles, held = [], [], [], 0
             with np.errstate(over="ignore"):
-                for x in _texts(batch):
-                    ids = shingles(x, width)
+                for ids in batch_shingles(_texts(batch), width):
                     if not ids.size or (node := _node(ids)[0]) in seen:
                         continue
                     seen.add(node)
@@ -276,7 +262,7 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             with np.errstate(over="ignore"):
-                found = [shingles(x, width) for x in _texts(batch)]
+                found = list(batch_shingles(_texts(batch), width))
             yield pa.RecordBatch.from_arrays([pa.array([_node(x)[0] for x in found], type=pa.int64()), pa.array([x.tobytes() for x in found], type=pa.binary())], names=["node", "ids"])
 
     return docs.mapInArrow(run, "node long, ids binary")
