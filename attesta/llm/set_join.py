@@ -290,9 +290,9 @@ def _difference(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 class Join:
-    """The join's tables. profile: doc_id, mark (hash of the text), n_shingles, node, check. links: a, b, pairs of nodes (classes of equal sets)
-    that were found linked. components: node, component for nodes with links. Together they make the groups of all
-    links: pairs of classes that other links already join are not compared."""
+    """The join's tables. profile: doc_id, mark (hash of the text), n_shingles, node, check. components: node, component
+    (the least node of its group) for nodes, classes of equal sets, with links. Pairs of classes that other links
+    already join are not compared."""
 
     def __init__(self, docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"):
         text = F.col(text_col).cast("string")
@@ -314,7 +314,7 @@ class Join:
         held = sets(own.join(chosen.select("doc_id").distinct(), "doc_id").select("doc_id", "text"), width)
         with arrow_rows(own.sparkSession, ROWS):
             self.sets = durable(held.join(chosen.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
-        self.percent, self.links, self.components = percent, None, None
+        self.percent, self.components = percent, None
 
         # each set with one other first: in groups of copies that leaves little to compare
         first = self._compare(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
@@ -333,24 +333,24 @@ class Join:
         release(self.sets, near, pairs, first, rest, members, spare, prefixes, near_by, across)
 
     def _tie(self, compared: DataFrame) -> None:
-        """Adds the links among compared pairs, and joins the groups anew."""
+        """Joins the groups that links among compared pairs tie; only links between two groups are looked at."""
         found = self._linked(compared)
-        if self.links is None:
-            self.links = durable(found, "links")
-        elif found.isEmpty():
+        if self.components is None:
+            self.components = connected_components(found)
             return
-        else:
-            before, self.links = self.links, durable(self.links.union(found), "links")
-            release(before)
-        if self.components is not None:
-            release(self.components)
-        self.components = connected_components(self.links)
+        between = durable(self._apart(found).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "between")
+        if not between.isEmpty():
+            before, tied = self.components, connected_components(between)
+            moved = before.join(tied.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+            self.components = durable(moved.union(tied.join(before, "node", "left_anti").select("node", "component")), "groups")
+            release(before, tied)
+        release(between)
 
     def _apart(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that aren't in one group."""
+        """The pairs that aren't in one group, with their groups ca and cb."""
         c = self.components
         out = pairs.join(c.toDF("a", "ca"), "a", "left").join(c.toDF("b", "cb"), "b", "left")
-        return out.where("coalesce(ca, a) <> coalesce(cb, b)").drop("ca", "cb")
+        return out.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
 
     def _allocation(self) -> dict[int, int]:
         """Per band the leading segments with deletion neighbourhoods; a row per band, of which a text's length allows
@@ -462,7 +462,7 @@ class Join:
 
     def release(self) -> None:
         """Deletes the join's tables, once nothing reads them any more."""
-        release(self.profile, self.links, self.components)
+        release(self.profile, self.components)
 
 
 def jaccard_groups(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
