@@ -79,6 +79,28 @@ def op10_toxicity(spark, sf_dir):
     return score(docs, train_rows(table(spark, sf_dir, "labels"))).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op11_block_norms(spark, sf_dir):
+    from attesta.llm.block_norms import clusters
+
+    return clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_block_max(spark, sf_dir):
+    from attesta.llm.block_max import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# The rules that pages are judged by.
+RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+def op13_url_rules(spark, sf_dir):
+    from attesta.llm.url_rules import judge
+
+    return judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
@@ -122,10 +144,50 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM o GROUP BY 1"""
 
 
+OP11_SQL = """WITH v AS MATERIALIZED (SELECT row_number() OVER () AS p, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT j, e FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), e) - 1 AS j, e FROM v WHERE vec_id IS NOT NULL) WHERE j < 16),
+{rounds},
+f AS (SELECT vec_id, j, d, sum(d) OVER (PARTITION BY j) AS ci, sum(d) OVER () AS i FROM a4)
+SELECT vec_id, CAST(f.j AS INTEGER) AS cluster, d AS distance, CAST(ci AS BIGINT) AS cluster_inertia, CAST(i AS BIGINT) AS inertia, sha256(array_to_string(c3.e, ',')) AS centroid_sha256 FROM f JOIN c3 ON c3.j = f.j"""
+_ASSIGN = """a{n} AS MATERIALIZED (SELECT v.p, any_value(v.vec_id) AS vec_id, min(row(CAST(list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), c.j)) AS b, b[1] AS d, b[2] AS j FROM v, c{m} c GROUP BY v.p)"""
+_MOVE = """m{n} AS (SELECT j, i, sum(x) AS s, count(*) AS n FROM (SELECT a.j, unnest(v.e) AS x, generate_subscripts(v.e, 1) AS i FROM a{n} a JOIN v ON v.p = a.p) GROUP BY 1, 2),
+c{n} AS MATERIALIZED (SELECT c.j, coalesce(any_value(l.e), any_value(c.e)) AS e FROM c{m} c LEFT JOIN (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS e FROM m{n} GROUP BY 1) l ON l.j = c.j GROUP BY 1)"""
+
+OP12_SQL = r"""WITH t AS (SELECT row_number() OVER () AS p, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+d AS (SELECT p, doc_id, w, len(w) AS n FROM t WHERE len(w) > 0),
+s AS (SELECT count(*) AS dn, CAST(sum(n) AS BIGINT) AS l FROM d),
+f AS (SELECT p, w, count(*) AS tf FROM (SELECT p, unnest(w) AS w FROM d) GROUP BY ALL),
+i AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+k AS (SELECT q, w, count(*) AS c FROM (SELECT q, unnest(w) AS w FROM i) GROUP BY ALL),
+x AS (SELECT w, CAST(floor(1000 * ln((2 * dn + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM f, s WHERE w IN (SELECT w FROM k) GROUP BY w, dn),
+r AS (SELECT q, f.p, CAST(sum(c * weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * d.n * dn) // l))))) AS BIGINT) AS score FROM k JOIN f USING (w) JOIN x USING (w) JOIN d ON d.p = f.p, s GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY r.q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM r JOIN d USING (p) JOIN i ON i.q = r.q WHERE score > 0 QUALIFY rank <= 20"""
+
+OP13_SQL = r"""WITH RECURSIVE u AS (SELECT row_number() OVER () AS p, page_id, url, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+rules(verdict, h, b) AS (VALUES {rules}),
+g AS (SELECT p, arg_max(h || b, length(h || b)) AS rule, arg_max(verdict, length(h || b)) AS verdict FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, b) GROUP BY 1),
+l AS (SELECT url AS source, unnest(regexp_extract_all(html, '(?i)<link rel="canonical" href="([^"]*://[^"]*)"', 1)) AS target FROM u WHERE contains(url, '://')),
+a AS (SELECT source AS url FROM l UNION SELECT target FROM l UNION SELECT url FROM u WHERE url IS NOT NULL),
+n AS (SELECT url, CASE WHEN h <> '' THEN h || regexp_replace(b, '/(index\.html?)?$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END END AS node FROM (
+  SELECT url, regexp_replace(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^www\.|:(80|443)?$', '', 'g') AS h, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS b,
+    list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(utm_[a-z]+|ref|gclid|fbclid|msclkid|mc_cid|mc_eid)(=|$)')) AS q FROM a)),
+e AS (SELECT s.node AS a, t.node AS b FROM l JOIN n s ON s.url = l.source JOIN n t ON t.url = l.target),
+bad AS (SELECT DISTINCT node FROM n JOIN u USING (url) JOIN g USING (p) WHERE verdict = 'block' AND node IS NOT NULL),
+r AS (SELECT node FROM bad UNION SELECT CASE WHEN e.a = r.node THEN e.b ELSE e.a END FROM r JOIN e ON r.node IN (e.a, e.b))
+SELECT page_id, host, path, rule, coalesce(g.verdict, CASE WHEN n.node IN (SELECT node FROM r) THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN g USING (p) LEFT JOIN n ON n.url = u.url"""
+
+
 def oracle_sql():
     """SQL for the operators that it can express on the tables: ranks, set similarities, groups and digests."""
     from attesta.llm.licenses import DICE, bounds
 
     quoted = ", ".join(f"({i}, '{a}', '{b.replace(chr(39), chr(39) * 2)}', {need}, {reach})" for i, a, b, _, need, reach, _ in bounds())
     licenses = OP3_SQL.format(values=quoted, least=DICE)
-    return {"op2_cover_search": OP2_SQL, "op3_licenses": licenses, "op4_jaccard_join": OP4_SQL, "op6_chat": OP6_SQL}
+    rounds = ",\n".join([_ASSIGN.format(n=n, m=n - 1) + ",\n" + _MOVE.format(n=n, m=n - 1) for n in (1, 2, 3)] + [_ASSIGN.format(n=4, m=3)])
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+    return {
+        "op2_cover_search": OP2_SQL, "op3_licenses": licenses, "op4_jaccard_join": OP4_SQL, "op6_chat": OP6_SQL,
+        "op11_block_norms": OP11_SQL.format(rounds=rounds), "op12_block_max": OP12_SQL, "op13_url_rules": OP13_SQL.format(rules=rules),
+    }
