@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from attesta.functions.sets import masi_distance
@@ -127,3 +129,20 @@ def report(labels: DataFrame) -> DataFrame:
     both = masi_alpha(rated("gold")).join(categorical(rated("status")).select("group", "kappa"), "group", "full")
     both = both.withColumns({"alpha": F.round("alpha", 6), "kappa": F.round("kappa", 6), "g": F.split("group", "\x01")})
     return both.select(F.get("g", F.lit(0)).alias("grouping"), F.get("g", F.lit(1)).alias("group"), "n", "alpha", gate(F.col("alpha"), ALPHA).alias("alpha_gate"), "kappa", gate(F.col("kappa"), KAPPA).alias("kappa_gate"))
+
+
+def weighted_kappa(ratings: DataFrame, scale: Sequence[str], *, power: int = 1) -> DataFrame:
+    """group, n, kappa: Cohen's kappa over the order of `scale` for units with two ratings (group, unit, rater, value):
+    a disagreement weighs its distance on the scale, to the power of 1 (linear) or 2 (quadratic). Values that aren't on
+    the scale don't count. Null where all ratings are one value, or no unit has two."""
+    known = ratings.where(F.col("value").isin(*scale))
+    w = Window.partitionBy("group", "unit")
+    own = known.withColumn("_n", F.row_number().over(w.orderBy("rater"))).withColumn("_m", F.count(F.lit(1)).over(w)).where("_m = 2")
+    at = F.array_position(F.array(*map(F.lit, scale)), F.col("value")) - 1
+    pairs = own.groupBy("group", "unit").agg(F.max(F.when(F.col("_n") == 1, at)).alias("a"), F.max(F.when(F.col("_n") == 2, at)).alias("b"))
+    joint = pairs.groupBy("group", "a", "b").agg(F.count(F.lit(1)).alias("c"))  # at most a row per pair of labels
+    margin = lambda side: [F.sum(F.when(F.col(side) == i, F.col("c")).otherwise(0)).cast("double").alias(f"{side}{i}") for i in range(len(scale))]
+    seen = F.sum(F.col("c") * F.pow(F.abs(F.col("a") - F.col("b")).cast("double"), F.lit(float(power))))
+    total = joint.groupBy("group").agg(F.sum("c").alias("n"), seen.alias("seen"), *margin("a"), *margin("b"))
+    chance = sum((F.col(f"a{i}") * F.col(f"b{j}") * float(abs(i - j) ** power) for i in range(len(scale)) for j in range(len(scale))), F.lit(0.0)) / F.col("n")
+    return total.select("group", "n", F.when(chance > 0, 1 - F.col("seen") / chance).alias("kappa"))

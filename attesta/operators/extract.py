@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -57,11 +58,46 @@ def previous_line(rows: DataFrame, group: str, order: str, number: str, original
     return own.withColumn("matched", F.when(F.col("_last.n") == F.col(number), F.col("_last.o"))).drop("_last")
 
 
-def asof(rows: DataFrame, starts: DataFrame, key: str, start: str) -> DataFrame:
-    """rows with the columns of the last of `starts` at or before their key, null before the first. Starts are unique; a
-    row meets one interval from a start up to the next, so that Spark may broadcast them if they are few."""
-    ends = starts.withColumn("_end", F.lead(start).over(Window.orderBy(start)))
-    return rows.join(ends, (F.col(key) >= F.col(start)) & (F.col("_end").isNull() | (F.col(key) < F.col("_end"))), "left").drop("_end")
+def ranges(keys: DataFrame, key: str, n: int | None = None) -> Callable[[Column], Column]:
+    """A Column function: the range, from 0, that a key falls into; ranges hold about equally many of the keys (numbers,
+    dates or timestamps). Only the ends of ranges come to the driver."""
+    n = n or int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = keys.select(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    kind, ends = keys.schema[key].dataType, list(dict.fromkeys(ends))
+    bounds = F.array(*[F.lit(str(e)).cast(kind) for e in ends]).cast(f"array<{kind.simpleString()}>")
+    steps = [1 << i for i in reversed(range(len(ends).bit_length()))]
+
+    def bucket(k: Column) -> Column:
+        if not ends:
+            return F.lit(0)
+        halved = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when(F.coalesce(F.get(bounds, at + s - 1) <= k, F.lit(False)), at + s).otherwise(at))
+        return F.coalesce(halved, F.lit(0))
+
+    return bucket
+
+
+def asof(rows: DataFrame, starts: DataFrame, key: str, start: str, by: Sequence[str] = ()) -> DataFrame:
+    """rows with the columns of the last of `starts` at or before their key (with equal `by`), null before the first and
+    for null keys or `by`. Starts are unique.
+
+    Distinct keys and starts are sorted together within ranges, where the last start is carried forward; a second pass
+    over one row per range carries it from range to range. Then rows look their key up: no side need be small, and a
+    key that very many rows share is one key.
+    """
+    by = list(by)
+    known = starts.where(F.col(start).isNotNull()).select(*by, F.col(start).alias("_k"), F.struct(*[c for c in starts.columns if c not in by]).alias("_s"))
+    both = known.unionByName(rows.where(F.col(key).isNotNull()).select(*by, F.col(key).alias("_k")), allowMissingColumns=True)
+    own = both.groupBy(*by, "_k").agg(F.first("_s", True).alias("_s"))
+    own = own.withColumn("_b", ranges(both.select("_k"), "_k")(F.col("_k")))
+    here = Window.partitionBy(*by, "_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = own.groupBy(*by, "_b").agg(F.max_by("_s", F.when(F.col("_s").isNotNull(), F.col("_k"))).alias("_t"))
+    carried = carried.select(*by, "_b", F.last("_t", True).over(before).alias("_t"))  # a row per range
+    found = own.withColumn("_l", F.last("_s", True).over(here)).join(carried, [*by, "_b"])
+    found = found.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_k", F.coalesce("_l", "_t").alias("_f")).where("_f is not null")
+    same = [F.col(c) == F.col(f"_by_{c}") for c in by]
+    out = rows.join(found, functools.reduce(lambda a, b: a & b, same, F.col(key) == F.col("_k")), "left")
+    return out.select(*rows.columns, "_f.*")
 
 
 def supplement(base: DataFrame, side: DataFrame, key: str, column: str) -> DataFrame:
@@ -104,24 +140,46 @@ def gaps(rows: DataFrame, group: str, number: str) -> DataFrame:
 
 
 def skeleton(text: pd.Series) -> pd.Series:
-    """Letters without marks and h, m as n, runs squeezed: spellings of one word in different romanisations agree."""
-    import re
-    import unicodedata
+    """The letters a to z without marks and h, m as n, runs squeezed: spellings of one word in different romanisations
+    agree."""
+    plain = text.fillna("").str.lower().str.normalize("NFD").str.replace(r"[^a-z]|h", "", regex=True)
+    return plain.str.replace("m", "n").str.replace(r"(.)\1+", r"\1", regex=True)
+
+
+def signed(lines: DataFrame) -> DataFrame:
+    """Lines (group, ord, text) as group, ord, sig."""
+    return lines.select("group", "ord", F.pandas_udf(skeleton, "string")(F.col("text").cast("string")).alias("sig"))
 
-    def one(x):
-        plain = "".join(c for c in unicodedata.normalize("NFD", (x or "").lower()) if unicodedata.category(c)[0] == "L" and c != "h")
-        return re.sub(r"(.)\1+", r"\1", plain.replace("m", "n"))
 
-    return text.map(one)
+def anchors(left: DataFrame, right: DataFrame) -> DataFrame:
+    """group, l, r: lines (group, ord, sig) whose signatures stand once on each side, kept where r rises."""
+    once = lambda d, name: d.where("sig <> ''").groupBy("group", "sig").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias(name)).where("n = 1").drop("n")
+    pairs = once(left, "l").join(once(right, "r"), ["group", "sig"])
+    # the largest r so far, carried within ranges of l and then from range to range
+    own = pairs.withColumn("_b", ranges(pairs, "l")(F.col("l")))
+    before = Window.partitionBy("group").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = own.groupBy("group", "_b").agg(F.max("r").alias("_m")).select("group", "_b", F.max("_m").over(before).alias("_c"))
+    here = Window.partitionBy("group", "_b").orderBy("l").rowsBetween(Window.unboundedPreceding, -1)
+    most = own.withColumn("_h", F.max("r").over(here)).join(carried, ["group", "_b"]).withColumn("_m", F.greatest("_h", "_c"))
+    return most.where(F.col("_m").isNull() | (F.col("r") > F.col("_m"))).select("group", "l", "r")
 
 
 def align(left: DataFrame, right: DataFrame, *, least: float = 0.86, high: float = 0.97) -> DataFrame:
     """group, l, r, ratio, confidence: pairs of lines (group, ord, text) of two editions in the same order.
 
-    Lines whose skeletons occur once on both sides are anchors, kept where they rise; between anchors each line takes
-    the most similar free line up to the next anchor. A group is aligned as a whole.
+    Lines whose skeletons occur once on both sides are anchors, kept where they rise. The stretches between two anchors
+    are matched each for itself: a line takes the most similar free line of its stretch that comes after those taken.
+    Only a stretch is in one place at once, however long the editions are.
     """
-    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    a, b = signed(left), signed(right)
+    sure = anchors(a, b)
+
+    def stretch(lines: DataFrame, side: str) -> DataFrame:
+        """Lines that are no anchors, with the anchor before them."""
+        marks = sure.select("group", F.col(side).alias("_at"), F.col("l").alias("_anchor"))
+        return asof(lines, marks, "ord", "_at", ["group"]).where(F.col("_at").isNull() | (F.col("_at") < F.col("ord"))).select("group", F.coalesce("_anchor", F.lit(-(1 << 62))).alias("anchor"), "ord", "sig")
+
+    def fill(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         from difflib import SequenceMatcher
 
         def ratio(s: str, t: str, floor: float) -> float:
@@ -132,31 +190,20 @@ def align(left: DataFrame, right: DataFrame, *, least: float = 0.86, high: float
             return m.ratio() if m.quick_ratio() >= floor else 0.0
 
         a, b = a.sort_values("ord"), b.sort_values("ord")
-        sa, sb = skeleton(a["text"]).tolist(), skeleton(b["text"]).tolist()
-        once = {s: i for i, s in enumerate(sb) if sb.count(s) == 1 and s} if len(sb) < 400 else {s: sb.index(s) for s, n in pd.Series(sb).value_counts().items() if n == 1 and s}
-        counts = pd.Series(sa).value_counts()
-        anchors, last = {}, -1
-        for i, s in enumerate(sa):
-            j = once.get(s, -1)
-            if j > last and counts[s] == 1:
-                anchors[i], last = j, j
-        out, at = [], 0
-        ahead = sorted(anchors.items())
-        for i, s in enumerate(sa):
-            if i in anchors:
-                j, best = anchors[i], 1.0
-            else:
-                stop = next((y for x, y in ahead if x > i), len(sb))
-                best, j = 0.0, at
-                for t in range(at, stop):
-                    if (found := ratio(s, sb[t], max(least, best))) > best:
-                        best, j = found, t
-                    if best == 1.0:
-                        break
+        theirs, out, at = b["sig"].tolist(), [], 0
+        for i, s in zip(a["ord"], a["sig"]):
+            best, j = 0.0, at
+            for t in range(at, len(theirs)):
+                if (found := ratio(s, theirs[t], max(least, best))) > best:
+                    best, j = found, t
+                if best >= 0.999:
+                    break
             if best >= least:
-                out.append((*key, int(a["ord"].iloc[i]), int(b["ord"].iloc[j]), round(best, 6), "high" if best >= high else "medium"))
+                out.append((key[0], int(i), int(b["ord"].iloc[j]), round(best, 6)))
                 at = j + 1
-        return pd.DataFrame(out, columns=["group", "l", "r", "ratio", "confidence"])
+        return pd.DataFrame(out, columns=["group", "l", "r", "ratio"])
 
-    own = lambda d: d.select("group", "ord", "text").groupBy("group")
-    return own(left).cogroup(own(right)).applyInPandas(run, "group string, l long, r long, ratio double, confidence string")
+    own = lambda d: d.groupBy("group", "anchor")
+    filled = own(stretch(a, "l")).cogroup(own(stretch(b, "r"))).applyInPandas(fill, "group string, l long, r long, ratio double")
+    both = sure.select(F.col("group").cast("string").alias("group"), F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"), F.lit(1.0).alias("ratio")).unionByName(filled)
+    return both.withColumn("confidence", F.when(F.col("ratio") >= high, F.lit("high")).otherwise(F.lit("medium")))
