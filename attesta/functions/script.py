@@ -1,13 +1,13 @@
 """Sanskrit between Latin letters (IAST, with the colon of ISO 15919) and Devanagari, as Column expressions.
 
-A text is cut by longest match; what a sign becomes depends on its own class and that of its neighbour alone (a
-consonant carries an inherent a that a vowel sign replaces and a virama removes), so that both directions are one pass.
+A consonant carries an inherent a that a vowel sign replaces and a virama removes. That state is written into the text
+as a mark behind the consonant, so that every rule is a plain replacement, longer letters first, and all of it runs in
+generated code over bytes instead of once for each character.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -28,75 +28,41 @@ APART = ":"
 ASPIRATED = tuple(c for c, _ in CONSONANTS if f"{c}h" in dict(CONSONANTS))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _forms(letter: str) -> dict[str, None]:
     """A letter composed, decomposed and half so."""
     parts = unicodedata.normalize("NFD", letter)
     return dict.fromkeys([letter, parts, *(unicodedata.normalize("NFC", parts[:i]) + parts[i:] for i in range(1, len(parts)))])
 
 
-def _table(**columns: dict[str, str]) -> Callable[[Column], Column]:
-    """x -> struct of what the columns say for it; null where none does. A key is found by its place in one string."""
-    keys, rows = "\0", []
-    for key in dict.fromkeys(k for c in columns.values() for k in c):
-        rows += [None] * (len(keys) - len(rows)) + [key]
-        keys += f"{key}\0"
-    kind = f"struct<{', '.join(f'{n}: string' for n in columns)}>"
-    cells = [F.lit(None).cast(kind) if k is None else F.struct(*[F.lit(c.get(k)).cast("string").alias(n) for n, c in columns.items()]) for k in rows]
-    own = F.array(*cells)
-    return lambda x: F.get(own, F.instr(F.lit(keys), F.concat(F.lit("\0"), x, F.lit("\0"))))
+#: Behind a consonant whose vowel is still open, and behind an independent a.
+OPEN, AFTER_A = "\ue000", "\ue001"
 
 
-def _spelt(pairs) -> dict[str, str]:
-    return {form: to for letter, to in pairs for form in _forms(letter)}
+def _replaced(text: Column, pairs: dict[str, str]) -> Column:
+    for a in sorted(pairs, key=len, reverse=True):
+        text = F.replace(text, F.lit(a), F.lit(pairs[a]))
+    return text
 
 
 def to_devanagari(text: Column) -> Column:
     """Devanagari of IAST, in any case, composed or not. Letters beyond the scheme, spaces and signs stay as they are;
     : between a stop and h, or a and i or u, keeps them apart, and so does a diaeresis on i or u."""
-    consonants = _spelt(CONSONANTS)
-    alone, joined = _spelt((a, b) for a, b, _ in VOWELS), _spelt((a, c) for a, _, c in VOWELS)
-    for plain, (letter, sign) in {"ï": ("इ", "ि"), "ü": ("उ", "ु")}.items():
-        alone |= _spelt([(plain, letter)])
-        joined |= _spelt([(plain, sign)])
-    signs = _spelt(SIGNS)
-    known = "|".join(x.replace("|", r"\|") for x in sorted([*consonants, *alone, *signs], key=len, reverse=True))
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(rf"(?s){known}|."), F.lit(0))
-    of = _table(consonant=consonants, vowel=alone, joined=joined, sign=signs)
-    read = let(tokens, lambda all_: F.transform(all_, lambda x: F.struct(x.alias("x"), of(x).alias("of"))))
-    stops = [form for letter in ASPIRATED for form in _forms(letter)]
-
-    def apart(all_: Column, i: Column) -> Column:
-        before, after = F.get(all_, i - 1)["x"], F.get(all_, i + 1)["x"]
-        return F.coalesce((before.isin(*stops) & (after == "h")) | (before == "a") & after.isin("i", "u"), F.lit(False))
-
-    def one(all_: Column, t: Column, i: Column) -> Column:
-        open_ = F.get(all_, i - 1)["of"]["consonant"].isNotNull()
-        other = F.concat(F.when(open_, F.lit(VIRAMA)).otherwise(F.lit("")), F.coalesce(t["of"]["consonant"], t["of"]["sign"], t["x"]))
-        end = F.when(t["of"]["consonant"].isNotNull() & F.get(all_, i + 1).isNull(), F.lit(VIRAMA)).otherwise(F.lit(""))
-        return F.when(t["of"]["vowel"].isNotNull(), F.when(open_, t["of"]["joined"]).otherwise(t["of"]["vowel"])).otherwise(F.concat(other, end))
-
-    # the text is cut by now, so that letters kept apart don't join again without their colon
-    letters = let(read, lambda all_: F.filter(all_, lambda t, i: ~((t["x"] == APART) & apart(all_, i))))
-    return let(letters, lambda all_: F.array_join(F.transform(all_, lambda t, i: one(all_, t, i)), ""))
+    vowels = (*VOWELS, ("ï", "इ", "ि"), ("ü", "उ", "ु"))
+    letters = dict(CONSONANTS)
+    candra, rest = {a: b for a, b in SIGNS if a == "m̐"}, {a: b for a, b in SIGNS if a != "m̐"}
+    x = _replaced(F.lower(text), {form: a for a in (*[v[0] for v in vowels], *letters, *rest) for form in _forms(a) if form != a})
+    x = _replaced(x, {f"a{APART}i": "aï", f"a{APART}u": "aü", **candra})
+    x = _replaced(x, {a: f"{b}{OPEN}" for a, b in letters.items()})
+    x = _replaced(x, {f"{letters[a]}{OPEN}{APART}ह": f"{letters[a]}{OPEN}ह" for a in ASPIRATED})
+    x = _replaced(x, {f"{OPEN}{a}": sign for a, _, sign in vowels})
+    return _replaced(_replaced(x, {a: b for a, b, _ in vowels}), {OPEN: VIRAMA, **rest})
 
 
 def to_iast(text: Column) -> Column:
     """IAST of Devanagari, composed; other characters stay as they are."""
-    of = _table(consonant={b: a for a, b in CONSONANTS}, vowel={b: a for a, b, _ in VOWELS}, joined={s: a for a, _, s in VOWELS if s}, sign={b: a for a, b in SIGNS})
-    read = F.transform(F.split(text, ""), lambda x: F.struct(x.alias("x"), of(x).alias("of")))
-
-    def one(all_: Column, t: Column, i: Column) -> Column:
-        before, after = F.get(all_, i - 1), F.get(all_, i + 1)
-        inherent = F.when(after["of"]["joined"].isNotNull() | F.coalesce(after["x"] == VIRAMA, F.lit(False)), F.lit("")).otherwise(F.lit("a"))
-        ends_a = F.coalesce((before["x"] == "अ") | before["of"]["consonant"].isNotNull(), F.lit(False))
-        hiatus = F.when(ends_a & t["x"].isin("इ", "उ"), F.lit(APART)).otherwise(F.lit(""))
-        stop = (t["x"] == "ह") & (before["x"] == VIRAMA) & F.get(all_, i - 2)["of"]["consonant"].isin(*ASPIRATED)
-        parted = F.when(stop, F.lit(APART)).otherwise(F.lit(""))
-        return F.coalesce(F.concat(parted, t["of"]["consonant"], inherent), F.concat(hiatus, t["of"]["vowel"]), t["of"]["joined"], F.when(t["x"] == VIRAMA, F.lit("")), t["of"]["sign"], t["x"])
-
-    return let(read, lambda all_: F.array_join(F.transform(all_, lambda t, i: one(all_, t, i)), ""))
+    x = _replaced(text, {b: f"{a}a{OPEN}" for a, b in CONSONANTS} | {"अ": f"a{AFTER_A}"})
+    x = _replaced(x, {f"{c}a{OPEN}{VIRAMA}h": f"{c}{APART}h" for c in ASPIRATED})
+    x = _replaced(x, {f"a{OPEN}{s}": a for a, _, s in VOWELS if s} | {f"a{OPEN}{VIRAMA}": ""})
+    x = _replaced(x, {f"{mark}{b}": f"{APART}{a}" for mark in (OPEN, AFTER_A) for a, b, _ in VOWELS if a in "iu"})
+    x = _replaced(x, {b: a for a, b, _ in VOWELS} | {s: a for a, _, s in VOWELS if s} | {b: a for a, b in SIGNS})
+    return _replaced(x, {OPEN: "", AFTER_A: "", VIRAMA: ""})

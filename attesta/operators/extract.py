@@ -147,8 +147,8 @@ def skeleton(text: pd.Series) -> pd.Series:
 
 
 def signed(lines: DataFrame) -> DataFrame:
-    """Lines (group, ord, text) as group, ord, sig."""
-    return lines.select("group", "ord", F.pandas_udf(skeleton, "string")(F.col("text").cast("string")).alias("sig"))
+    """Lines (group, ord, text) as group, ord, sig, as columns of their own: both editions may come from one table."""
+    return lines.select(F.col("group").alias("group"), F.col("ord").alias("ord"), F.pandas_udf(skeleton, "string")(F.col("text").cast("string")).alias("sig"))
 
 
 def anchors(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -99,3 +99,10 @@ def test_align_in_stretches_equals_one_pass(spark):
         assert x["confidence"] == ("high" if x["ratio"] >= 0.97 else "medium")
     assert got == {g: sequential(a, b) for g, (a, b) in editions.items()}
     assert any(ratio < 1 for x in got.values() for _, _, ratio in x)
+
+
+def test_align_an_edition_with_a_change_of_itself(spark):
+    """Both sides from one table."""
+    own = spark.createDataFrame([("g", i, t) for i, t in enumerate(["rama gaccha", "vana muni", "vana muni", "deva", "sita uvaca nara"])], "group string, ord long, text string")
+    other = own.withColumn("text", F.when(F.col("ord") == 4, "sita uvaca nari").otherwise(F.col("text")))
+    assert [(x["l"], x["r"]) for x in extract.align(own, other).orderBy("l").collect()] == [(i, i) for i in range(5)]
