@@ -169,10 +169,11 @@ def align(left: DataFrame, right: DataFrame, *, least: float = 0.86, high: float
 
     Lines whose skeletons occur once on both sides are anchors, kept where they rise. The stretches between two anchors
     are matched each for itself: a line takes the most similar free line of its stretch that comes after those taken.
-    Only a stretch is in one place at once, however long the editions are.
+    Only a stretch is in one place at once, however long the editions are. Signatures and anchors are persisted, on disk
+    where they outgrow memory, as several steps read them.
     """
-    a, b = signed(left), signed(right)
-    sure = anchors(a, b)
+    a, b = signed(left).persist(), signed(right).persist()
+    sure = anchors(a, b).persist()
 
     def stretch(lines: DataFrame, side: str) -> DataFrame:
         """Lines that are no anchors, with the anchor before them."""
