@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 class Template:
     """How turns are marked. `before` holds {role} once. What texts and roles hold is escaped so that "<|" never stands
     there, and roles hold no line break. Templates whose marks a text could still make up, by itself or with a mark
-    beside it, are refused: `before` and `after` begin with "<|", neither is the other's beginning, what follows the
-    role has a line break and no "<|", and no mark ends in "<"."""
+    beside it, are refused: `before` and `after` begin with "<|" and hold no other, neither is the other's
+    beginning, what follows the role has a line break, and no mark ends in "<"."""
 
     before: str = "<|im_start|>{role}\n"
     after: str = "<|im_end|>\n"
@@ -34,7 +34,7 @@ class Template:
     def __post_init__(self):
         opening, *closing = self.before.split("{role}")
         told_apart = not opening.startswith(self.after) and not self.after.startswith(opening)
-        begun = opening.startswith("<|") and self.after.startswith("<|") and "<|" not in opening[2:]
+        begun = opening.startswith("<|") and self.after.startswith("<|") and "<|" not in opening[2:] + " " + self.after[2:]
         if len(closing) != 1 or not (told_apart and begun and "\n" in closing[0] and "<|" not in closing[0]) or any(m.endswith("<") for m in (opening, *closing, self.after)):
             raise ValueError(f"a text could hold the marks {self.before!r} and {self.after!r}")
 

@@ -116,7 +116,7 @@ def test_chat_round_trip(spark):
     assert order[1] and order[None] and not any(order[c] for c in (2, 3, 4, 5, 6))
 
 
-@pytest.mark.parametrize("marks", [("<|begin:{role}\n", "<|end|>"), ("<|[{role}]\n|", "<|/|>\n"), ("<|a{role}|>\n\n", "<|b<|a")])
+@pytest.mark.parametrize("marks", [("<|begin:{role}\n", "<|end|>"), ("<|[{role}]\n|", "<|/|>\n"), ("<|a{role}|>\n\n", "<|b")])
 def test_other_marks_round_trip(spark, marks):
     """Texts that hold any template's marks, escaped or in part, are read back as they were."""
     own = chat.Template(before=marks[0], after=marks[1])
@@ -128,7 +128,7 @@ def test_other_marks_round_trip(spark, marks):
     assert {x["conv_id"]: [tuple(t) for t in x["t"]] for x in chats.select("conv_id", chat.read_back(F.col("formatted"), own).alias("t")).collect()} == want
 
 
-@pytest.mark.parametrize("marks", [("[{role}]", "[/]"), ("<|x{role}\n", "\n"), ("{role}: ", "<|end|>"), ("<|{role}|>", "<|end|>"), ("\n<|{role}|>\n", "<|"), ("<|a{role}\n<|", "<|b"), ("<|a{role}\n", "<|ab"), ("<|a{role}\n<", "<|b"), ("<|x|>", "<|end|>"), ("<|{role}{role}\n", "<|end|>")])
+@pytest.mark.parametrize("marks", [("[{role}]", "[/]"), ("<|x{role}\n", "\n"), ("{role}: ", "<|end|>"), ("<|{role}|>", "<|end|>"), ("\n<|{role}|>\n", "<|"), ("<|a{role}\n<|", "<|b"), ("<|a{role}\n", "<|ab"), ("<|a{role}\n<", "<|b"), ("<|a{role}\n", "<|b<|a"), ("<|x|>", "<|end|>"), ("<|{role}{role}\n", "<|end|>")])
 def test_marks_that_texts_could_hold_are_refused(marks):
     with pytest.raises(ValueError, match="marks"):
         chat.Template(before=marks[0], after=marks[1])
