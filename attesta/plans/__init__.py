@@ -1,8 +1,8 @@
 """Named queries over the tables, each with the SQL that checks it."""
 
-from attesta.plans import extraction, reporting, retrieval, review
+from attesta.plans import extraction, landing, reporting, retrieval, review
 
-MODULES = [retrieval, review, extraction, reporting]
+MODULES = [retrieval, review, extraction, reporting, landing]
 
 
 def queries():

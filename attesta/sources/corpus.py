@@ -103,9 +103,3 @@ def marked_text(spark: SparkSession, path: str, marker: str) -> DataFrame:
     own = spark.read.text(path, wholetext=True)
     both = F.arrays_zip(F.regexp_extract_all("value", F.lit(whole), F.lit(2)).alias("key"), F.regexp_extract_all("value", F.lit(whole), F.lit(1)).alias("text"))
     return own.select(F.inline(both)).select("key", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
-
-
-def missing_vectors(units: DataFrame, cache: DataFrame, text: str = "text") -> DataFrame:
-    """Units whose text, by content hash, has no vector in the cache (corpus, id, hash, embedding)."""
-    own = units.withColumn("hash", F.sha2(F.coalesce(text, F.lit("")), 256))
-    return own.join(cache.select("corpus", "id", "hash"), ["corpus", "id", "hash"], "left_anti")
