@@ -1,9 +1,10 @@
 """Sanitisation by information content, in DataFrame operations alone.
 
-Patterns find protected entities (mail addresses, IP addresses, card and phone numbers). Words near an entity are
-weighed by how much they tell of it: with counts over all documents, pointwise mutual information of word and entity
-as a share of the entity's own information content. Words at or above a disclosure threshold are generalised or, if
-they all but name the entity, removed.
+Patterns find protected entities (mail addresses, IP addresses, card and phone numbers). Words of texts that hold an
+entity are weighed by how much they tell of it: with counts over all different texts, pointwise mutual information of
+word and entity as a share of the entity's own information content. Words at or above a disclosure threshold are
+generalised or, if they all but name the entity, removed. Away from the entity a word must also come in different
+surroundings, or edited copies of one text would lose all their rare words.
 """
 
 from __future__ import annotations
@@ -25,7 +26,13 @@ KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT = 80
 #: Shares of an entity's information from which a word is generalised, and removed; documents that must agree.
 GENERALISE, REMOVE, SUPPORT = 0.5, 0.95, 2
+#: Share of the texts with a word that must hold the entity, and, away from entities, of a word's places that must differ
+#: in the words around it: what an edited copy repeats isn't evidence.
+KNOWN, VARIED = 0.5, 0.5
+#: Tasks over which rows of one text are spread.
+SALTS = 16
 WORD = r"\p{L}{2,}"
+NO_WORD = r"[^\p{L}]+"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -129,6 +136,28 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str):
     return text, key, F.xxhash64(text)
 
 
+def _signature(name: str) -> list[Column]:
+    """What tells sets of texts apart, whatever their order: two hashes and a count."""
+    return [F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(F.lit(1), "mark")).alias("a"), F.bit_xor(F.xxhash64(F.lit(2), "mark")).alias("b")).alias(name)]
+
+
+def _told(pairs: DataFrame, total: float) -> DataFrame:
+    """pairs (n_both, n_entity, n_term) that disclose, with share: their information as a share of the entity's own."""
+    own = F.log(F.lit(total) / F.col("n_entity"))
+    share = F.log(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term"))) / own
+    sure = (own > 0) & (F.col("n_both") >= KNOWN * F.col("n_term"))
+    return pairs.where(sure).withColumn("share", share).where(F.col("share") >= GENERALISE)
+
+
+def _far_words(texts: DataFrame, of_term: DataFrame) -> DataFrame:
+    """mark, term, n_term, around (a hash of the words on both sides, at one of its places) of the words of each text
+    that may disclose one of its entities: those that aren't in too many texts for its most frequent one."""
+    words = F.split(F.lower("text"), NO_WORD)
+    placed = let(words, lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("term"), F.xxhash64(F.get(ws, i - 1), F.lit(0), F.get(ws, i + 1)).alias("around"))))
+    own = texts.select("mark", "reach", F.inline(placed)).where(F.length("term") >= 2).join(of_term, "term")
+    return own.where(F.col("n_term") * KNOWN <= F.col("reach")).groupBy("mark", "term", "n_term").agg(F.min("around").alias("around"))
+
+
 def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """key, mark, spans of the rows that hold an entity, once each."""
     text, key, mark = _keyed(docs, id_col, text_col)
@@ -137,40 +166,55 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     named = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.concat_ws(":", s["kind"].cast("string"), F.when(s["kind"] == 0, F.lower(s["value"])).otherwise(_digits(s["value"]))).alias("entity"), F.transform(_near(F.col("text"), s), lambda w: w["term"]).alias("near")))
     found = durable(found.select("key", "mark", "text", named.alias("base")), "entities")
 
-    # counts of documents: with a word beside an entity, with an entity, with a word, all
+    # counts are of different texts, so that copies of one text say nothing twice
+    each = found.dropDuplicates(["mark"])
+    of_term = own.dropDuplicates(["mark"]).select(F.explode(F.array_distinct(F.split(F.lower("text"), NO_WORD))).alias("term")).where(F.length("term") >= 2)
+    of_term = durable(of_term.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where(F.col("n_term") >= SUPPORT), "terms")
+    total = float(own.select("mark").distinct().count())
+    holds = each.select("mark", F.explode(F.array_distinct(F.transform("base", lambda s: s["entity"]))).alias("entity"))
+    of_entity = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), *_signature("of_e")).where(F.col("n_entity") >= SUPPORT)
+    holds = durable(holds.join(of_entity, "entity"), "holds")
+
+    # words beside an entity
     pair = F.array_distinct(F.flatten(F.transform("base", lambda s: F.transform(s["near"], lambda w: F.struct(s["entity"].alias("entity"), w.alias("term"))))))
-    both = found.select(F.explode(pair).alias("p")).groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= SUPPORT)
-    both = durable(both, "beside")
-    of_entity = found.select(F.explode(F.array_distinct(F.transform("base", lambda s: s["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    words = own.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= 2)
-    of_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(both.select("term").distinct(), "term")
-    total = own.agg(F.count(F.lit(1)).cast("double").alias("n")).first()["n"]
-    told = both.join(of_entity, "entity").join(of_term, "term")
-    own_content = F.log(F.lit(total) / F.col("n_entity"))
-    share = F.log(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term"))) / own_content
-    told = told.where(own_content > 0).withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share")
-
-    # a word that discloses an entity goes wherever it stands in a document that holds the entity
-    holds = found.select("key", "mark", F.explode(F.array_distinct(F.transform("base", lambda s: s["entity"]))).alias("entity")).distinct()
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
-    has = found.dropDuplicates(["key", "mark"]).select("key", "mark", F.explode(words).alias("term"))
-    terms = holds.join(told, "entity").groupBy("key", "mark", "term").agg(F.max("share").alias("share")).join(has, ["key", "mark", "term"])
-    terms = terms.groupBy("key", "mark").agg(F.map_from_entries(F.collect_list(F.struct("term", F.col("share") >= REMOVE))).alias("terms"))
+    beside = each.select(F.explode(pair).alias("p")).groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= SUPPORT)
+    beside = _told(beside.join(holds.select("entity", "n_entity").distinct(), "entity").join(of_term, "term"), total).select("entity", "term", "share")
+
+    # words anywhere in a text that holds an entity, if they come in many surroundings and not as part of one passage
+    far = _far_words(each.join(holds.groupBy("mark").agg(F.max("n_entity").alias("reach")), "mark"), of_term)
+    of_far = far.groupBy("term").agg(F.count_distinct("around").alias("n_around"), F.count(F.lit(1)).alias("n_here"), *_signature("of_t"))
+    of_far = of_far.where((F.col("n_around") >= SUPPORT) & (F.col("n_around") >= VARIED * F.col("n_here"))).drop("n_around", "n_here")
+    far = durable(far.drop("around").join(of_far, "term"), "far")
+    # entities of the same texts are one, and so are words: pairs are of such classes
+    sides = holds.select("mark", "of_e", "n_entity").distinct().join(far.select("mark", "of_t", "n_term").distinct(), "mark")
+    both = sides.where(F.col("n_term") * KNOWN <= F.col("n_entity")).groupBy("of_e", "of_t", "n_entity", "n_term").agg(F.count(F.lit(1)).alias("n_both"))
+    anywhere = _told(both.where(F.col("n_both") >= SUPPORT), total).select("of_e", "of_t", "share")
+
+    # a word that discloses an entity goes wherever it stands in a text that holds the entity
+    has = each.select("mark", F.explode(F.array_distinct(F.split(F.lower("text"), NO_WORD))).alias("term"))
+    terms = holds.select("mark", "entity").join(beside, "entity").groupBy("mark", "term").agg(F.max("share").alias("share")).join(has, ["mark", "term"])
+    more = holds.select("mark", "of_e").distinct().join(anywhere, "of_e").groupBy("mark", "of_t").agg(F.max("share").alias("share"))
+    terms = terms.select("mark", "term", "share").unionByName(more.join(far, ["mark", "of_t"]).select("mark", "term", "share"))
+    terms = terms.groupBy("mark", "term").agg(F.max("share").alias("share"))
+    terms = terms.groupBy("mark").agg(F.map_from_entries(F.collect_list(F.struct("term", F.col("share") >= REMOVE))).alias("terms"))
+    # copies of one text may be very many rows
+    terms = terms.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     kind = "array<struct<kind:int,start:int,end:int,value:string,removed:boolean>>"
     base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(False).alias("removed")))
     places = F.filter(F.transform(matches(F.col("text"), WORD), lambda m: F.struct(F.lit(4).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.lower(m["value"]).alias("value"), F.element_at("terms", F.lower(m["value"])).alias("removed"))), lambda m: m["removed"].isNotNull())
     # a word inside an entity is hidden with it
     free = F.filter(places, lambda m: ~F.exists("base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
     added = F.when(F.col("terms").isNotNull(), free.cast(kind)).otherwise(F.array().cast(kind))
-    return found.dropDuplicates(["key", "mark"]).join(terms, ["key", "mark"], "left").select("key", "mark", F.array_sort(F.concat(base.cast(kind), added)).alias("spans"))
+    found = found.dropDuplicates(["key", "mark"]).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    return found.join(terms, ["mark", "salt"], "left").select("key", "mark", F.array_sort(F.concat(base.cast(kind), added)).alias("spans"))
 
 
 def analyse(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", into: str = "spans") -> DataFrame:
     """Every row of docs with its columns, and `into`: array<struct<kind, start, end, value, removed>> by kind and start
     (kinds count from 0 as in KINDS; the last are words that the method adds; code points, end exclusive).
 
-    Words are weighed beside an entity, and those that disclose it are marked wherever they stand in a document that
-    holds it. Null texts count as empty; null ids are documents like others; rows that repeat get the same spans; an
+    Words are weighed beside an entity and, if their surroundings differ, anywhere in a text that holds it; those that
+    disclose it are marked wherever they stand in such a text. Null texts count as empty; null ids are documents like others; rows that repeat get the same spans; an
     empty table gives no rows; other columns may have any name but `into`, which is replaced.
     """
     _, key, mark = _keyed(docs, id_col, text_col)

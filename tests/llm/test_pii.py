@@ -69,42 +69,77 @@ def test_odd_rows(docs, odd):
     assert pii.analyse(docs([])).count() == 0
 
 
+def told_by_loops(rows):
+    """{(entity, word): share} by plain loops over all different texts."""
+    word, address = re.compile(r"[^\W\d_]{2,}"), re.compile(PLAIN[0][1])
+    texts = sorted({t for _, t in rows})
+    holds = [{m[0] for m in address.finditer(t)} for t in texts]
+    n_entity, n_word, beside, within = Counter(e for es in holds for e in es), Counter(), Counter(), Counter()
+    around = {}
+    for t, es in zip(texts, holds):
+        own = word.findall(t)
+        n_word.update(set(own))
+        near = {(m[0], w[0]) for m in address.finditer(t) for w in word.finditer(t) if m.start() - pii.CONTEXT <= w.start() <= w.end() <= m.start() or m.end() <= w.start() <= w.end() <= m.end() + pii.CONTEXT}
+        beside.update(near)
+        within.update((e, w) for e in es for w in set(own))
+        if es:
+            pieces = re.split(r"[\W\d_]+", t)  # one-letter words are surroundings as well
+            for w in set(own):
+                around.setdefault(w, []).append({(pieces[i - 1] if i else None, pieces[i + 1] if i + 1 < len(pieces) else None) for i, x in enumerate(pieces) if x == w})
+    told = {}
+    for pairs, varied in ((beside, False), (within, True)):
+        for (e, w), n in pairs.items():
+            if n < pii.SUPPORT or n < pii.KNOWN * n_word[w] or n_entity[e] == len(texts):
+                continue
+            # each text brings one of its surroundings; in these tests a word stands in a text once or far from undecided
+            if varied and len({min(a, key=str) for a in around[w]}) < max(pii.SUPPORT, pii.VARIED * len(around[w])):
+                continue
+            share = math.log(n * len(texts) / (n_entity[e] * n_word[w])) / math.log(len(texts) / n_entity[e])
+            if share >= pii.GENERALISE:
+                told[e, w] = max(share, told.get((e, w), 0))
+    return told
+
+
+def check_terms(docs, rows):
+    told = told_by_loops(rows)
+    word, address = re.compile(r"[^\W\d_]{2,}"), re.compile(PLAIN[0][1])
+    for x in pii.analyse(docs(rows)).collect():
+        want, inside = set(), [m.span() for m in address.finditer(x["text"])]
+        for w in word.finditer(x["text"]):
+            shares = [told[m[0], w[0]] for m in address.finditer(x["text"]) if (m[0], w[0]) in told]
+            if shares and not any(a < w.end() and w.start() < b for a, b in inside):
+                want.add((w.start(), w.end(), max(shares) >= pii.REMOVE))
+        assert {(s["start"], s["end"], s["removed"]) for s in x["spans"] if s["kind"] == 4} == want
+    return told
+
+
 def test_terms_against_brute_force(docs):
-    """Counts and shares by plain loops over all documents."""
+    """Words beside addresses and far from them, in copies too."""
     r = random.Random(5)
     common, rare = ["alpha", "beta", "gamma", "delta"], ["qo", "wex", "rud"]
     rows = []
     for i in range(60):
-        words = r.choices(common, k=40)
+        words = r.choices(common, k=60)
         if i % 3 == 0:
             words[20] = f"m{i % 4}@host.org"
             words[18], words[2] = rare[i % 2], rare[i % 2]
+            words[50] = f"far{'abcd'[i % 4]}"
+            words[51] = f"x{'abcdefghij'[i % 10]}{'abc'[i % 3]}"
         elif i % 10 == 1:
             words[5] = rare[2] if i % 4 else rare[0]
         rows.append((i, " ".join(words)))
-    word, address = re.compile(r"[^\W\d_]{2,}"), re.compile(PLAIN[0][1])
-    holds, beside, n_word = {}, Counter(), Counter()
-    for d, t in rows:
-        n_word.update({w for w in word.findall(t)})
-        holds[d] = {m[0] for m in address.finditer(t)}
-        near = set()
-        for m in address.finditer(t):
-            for w in word.finditer(t):
-                if (w.end() <= m.start() and w.start() >= m.start() - pii.CONTEXT or w.start() >= m.end() and w.end() <= m.end() + pii.CONTEXT):
-                    near.add((m[0], w[0]))
-        beside.update(near)
-    n_entity = Counter(e for es in holds.values() for e in es)
-    told = {}
-    for (e, w), n in beside.items():
-        share = math.log(n * len(rows) / (n_entity[e] * n_word[w])) / math.log(len(rows) / n_entity[e])
-        if n >= pii.SUPPORT and share >= pii.GENERALISE:
-            told[e, w] = share
-    assert told and len({w for _, w in told}) < len(n_word)
-    for x in pii.analyse(docs(rows)).collect():
-        want = set()
-        for w in word.finditer(x["text"]):
-            shares = [told[e, w[0]] for e in holds[x["doc_id"]] if (e, w[0]) in told]
-            inside = any(m.start() < w.end() and w.start() < m.end() for m in address.finditer(x["text"]))
-            if shares and not inside:
-                want.add((w.start(), w.end(), max(shares) >= pii.REMOVE))
-        assert {(s["start"], s["end"], s["removed"]) for s in x["spans"] if s["kind"] == 4} == want
+    rows += [(100 + i, rows[i % 7][1]) for i in range(20)]
+    told = check_terms(docs, rows)
+    assert {w for _, w in told} >= {"qo", "wex", "fara", "farc"} and not {w for _, w in told} & {*common, "rud"}
+
+
+def test_far_words_and_copies(docs):
+    """A name far from its address goes; what copies and edited copies of one text share stays."""
+    rows = [(i, f"Zebulon {prose(60, i)} write to zeb@example.org") for i in range(5)]
+    one = f"{prose(20, 77)} quorble flindex mastovar {prose(60, 78)} mail ann@example.org now {prose(40, 79)}"
+    rows += [(10 + i, one) for i in range(6)] + [(20, one.replace(" now ", " soon ")), (21, one + " end")]
+    rows += [(30 + i, f"{prose(80, 200 + i)} zebra") for i in range(60)]
+    got = {x["doc_id"]: {x["text"][s["start"] : s["end"]].lower() for s in x["spans"] if s["kind"] == 4} for x in pii.analyse(docs(rows)).collect()}
+    assert all("zebulon" in got[i] for i in range(5))
+    assert all(not got[i] & {"quorble", "flindex", "mastovar"} for i in (*range(10, 16), 20, 21))
+    assert all(not got[30 + i] for i in range(60))
