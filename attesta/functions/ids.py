@@ -66,3 +66,10 @@ def normalise_cite(raw: Column) -> Column:
 def compat_cite(raw: Column) -> Column:
     """First run of word characters, dots and colons; ids with spaces are cut there."""
     return F.regexp_extract(raw, r"[\w.:]+", 0)
+
+
+def consistent(id_: Column, *fields: Column) -> Column:
+    """Whether a dotted id has just the numbers that its fields hold; false where either lacks."""
+    parts = F.split(id_, r"\.")
+    same = [F.coalesce(F.get(parts, F.lit(i)).try_cast("long") == f.cast("long"), F.lit(False)) for i, f in enumerate(fields)]
+    return F.coalesce(F.size(parts) == len(fields), F.lit(False)) & F.least(F.lit(True), F.lit(True), *same)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
@@ -67,3 +69,27 @@ def first_text(*fields: Column) -> Column:
 
 def alnum_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
+
+
+def answer_text(answer: Column) -> Column:
+    """A model's answer, given as JSON, as text: lists and objects become their values with spaces between, at any depth;
+    a null in them is empty. Text that isn't JSON stays; null is empty."""
+
+    def flat(answers: pd.Series) -> pd.Series:
+        def one(x):
+            try:
+                rest = [json.loads(x)]
+            except (TypeError, ValueError, RecursionError):
+                return x or ""
+            out = []
+            while rest:
+                v = rest.pop()
+                if isinstance(v, list | dict):
+                    rest += reversed(list(v.values()) if isinstance(v, dict) else v)
+                else:
+                    out.append("" if v is None else str(v))
+            return " ".join(out)
+
+        return answers.map(one)
+
+    return F.pandas_udf(flat, "string")(answer)

@@ -102,6 +102,22 @@ def ascii_digits(text: Column) -> Column:
     return F.translate(text, DEVANAGARI_DIGITS, "0123456789")
 
 
+# The number that closes a verse, between single or double dandas, and signs that editions set freely.
+VERSE_END = r"(?U)।{1,2}\s*\d+\.\d+\s*।{0,2}"
+CLOSING = "॥\\s*[०-९]+\\s*॥"
+FREE_SIGNS = r"(?U)[\s।॥\-\u200C\u200D]"
+
+
+def verse(text: Column) -> Column:
+    """A verse on one line; its number at the end becomes a double danda."""
+    return collapse(F.regexp_replace(text, VERSE_END, " ॥"))
+
+
+def compare_key(text: Column) -> Column:
+    """What two editions of a Devanagari text must share: no closing number, dandas, hyphens, spaces or joiners."""
+    return F.regexp_replace(F.regexp_replace(text, CLOSING, ""), FREE_SIGNS, "")
+
+
 def retrieval_text(*fields: Column) -> Column:
     """Distinct non-blank fields, in order, two spaces between them."""
     return F.concat_ws("  ", F.array_distinct(F.filter(F.array(*[F.trim(f) for f in fields]), lambda x: x.isNotNull() & (x != ""))))

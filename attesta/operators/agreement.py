@@ -111,6 +111,28 @@ def adjudicate(labels: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def gold_items(labels: DataFrame, items: DataFrame) -> DataFrame:
+    """The reviewed items (item_id, gold, question_type, ambiguity, other columns as they are) as they go into the gold
+    set: items without a known verdict are left out, flagged ones stay as they were.
+
+    Verified items take what all reviewers agree on, gold sorted; as unanswerable they must be abstained from. Adds
+    answerable and must_abstain (where agreed so; else the item's own, or null without such a column), verified,
+    needs_adjudication, and disagreement (reason, conflicting_fields, reviewer_labels in the order in which reviewers
+    came), null where there is none."""
+    said = F.struct("first_row", "reviewer", "status", "gold", "question_type", "ambiguity")
+    agreed = labels.where("known").groupBy("item_id").agg(F.min("gold").alias("_gold"), F.max("question_type").alias("_type"), F.max("ambiguity").alias("_ambiguity"), F.array_sort(F.collect_list(said)).alias("_said"))
+    decided = adjudicate(labels, items).select("item_id", F.col("resolution").alias("_resolution"), F.col("reason").alias("_reason"), F.split(F.nullif("conflicts", F.lit("")), ",").alias("_conflicts"))
+    ok, flagged = F.col("_resolution") == "verified", F.col("_resolution") == "needs_adjudication"
+    own = lambda c: F.col(c) if c in items.columns else F.lit(None).cast("boolean")
+    unanswerable = ok & (F.col("_type") == "unanswerable")
+    told = F.transform("_said", lambda x: F.struct(x["status"].alias("status"), x["gold"].alias("gold"), x["question_type"].alias("question_type"), x["ambiguity"].alias("ambiguity")))
+    return items.join(decided, "item_id").join(agreed, "item_id").withColumns({
+        "gold": F.when(ok, F.col("_gold")).otherwise(F.col("gold")), "question_type": F.when(ok, F.col("_type")).otherwise(F.col("question_type")), "ambiguity": F.when(ok, F.col("_ambiguity")).otherwise(F.col("ambiguity")),
+        "answerable": F.when(unanswerable, F.lit(False)).otherwise(own("answerable")), "must_abstain": F.when(unanswerable, F.lit(True)).otherwise(own("must_abstain")),
+        "verified": ok, "needs_adjudication": flagged, "disagreement": F.when(flagged, F.struct(F.col("_reason").alias("reason"), F.col("_conflicts").alias("conflicting_fields"), told.alias("reviewer_labels"))),
+    }).drop("_resolution", "_reason", "_conflicts", "_gold", "_type", "_ambiguity", "_said")
+
+
 # Targets of the gates.
 ALPHA, KAPPA = 0.67, 0.60
 

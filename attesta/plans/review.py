@@ -115,6 +115,15 @@ def adjudicate_items(spark, sf):
     return A.adjudicate(_labels(spark, sf), review_items(spark, sf))
 
 
+@query(f"""WITH {SQL_ADJ}, said AS (SELECT item_id, string_agg(status || ':' || gold || ':' || question_type || ':' || ambiguity, ' ' ORDER BY first_row, reviewer) AS labels FROM eff WHERE known GROUP BY 1)
+SELECT item_id, CASE WHEN resolution = 'verified' THEN ag_gold ELSE i_gold END AS gold, CASE WHEN resolution = 'verified' THEN ag_type ELSE i_type END AS question_type, CASE WHEN resolution = 'verified' THEN ag_amb ELSE i_amb END AS ambiguity,
+resolution = 'verified' AS verified, resolution = 'needs_adjudication' AS needs_adjudication, CASE WHEN resolution = 'verified' AND ag_type = 'unanswerable' THEN true END AS must_abstain, reason, CASE WHEN reason IS NOT NULL THEN labels END AS labels FROM ad JOIN said USING (item_id)""")
+def gold_items(spark, sf):
+    own = A.gold_items(_labels(spark, sf), review_items(spark, sf))
+    labels = F.array_join(F.transform("disagreement.reviewer_labels", lambda x: F.concat_ws(":", x["status"], F.array_join(x["gold"], ","), x["question_type"], x["ambiguity"])), " ")
+    return own.select("item_id", F.array_join("gold", ",").alias("gold"), "question_type", "ambiguity", "verified", "needs_adjudication", "must_abstain", F.col("disagreement.reason").alias("reason"), labels.alias("labels"))
+
+
 @query(f"WITH {SQL_ADJ} SELECT resolution, reason, count(*) AS n FROM ad GROUP BY 1, 2")
 def resolution_counts(spark, sf):
     return adjudicate_items(spark, sf).groupBy("resolution", "reason").agg(F.count(F.lit(1)).alias("n"))

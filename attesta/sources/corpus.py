@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from attesta.functions.text import retrieval_text
+from attesta.sources.bundle import _at
 
 UNIT = (
     "corpus string, id string, ord long, unit string, container string, id_path array<string>, text_en string, original string, transliteration string, "
@@ -60,6 +61,17 @@ def verdicts(spark: SparkSession, *paths: str) -> DataFrame:
     return raw.withColumn("ts", ts).withColumn("row_idx", F.monotonically_increasing_id())
 
 
+def reviews(spark: SparkSession, root: str) -> DataFrame:
+    """Verdicts of all corpora below root (root/<corpus>/*.jsonl): a corpus's verdicts.jsonl where there is one, else the
+    files of its reviewers. Only names of folders and files come to the driver."""
+    fs, top = _at(spark, root)
+    paths = []
+    for folder in sorted(str(x.getPath()) for x in fs.listStatus(top) if x.isDirectory()):
+        files = sorted(str(x.getPath()) for x in fs.listStatus(_at(spark, folder)[1]) if x.getPath().getName().endswith(".jsonl"))
+        paths += [f for f in files if f.endswith("/verdicts.jsonl")] or files
+    return verdicts(spark, *paths) if paths else spark.createDataFrame([], VERDICT)
+
+
 def book_json(spark: SparkSession, path: str) -> DataFrame:
     """{name, chapters: [{chapter, verses: [{verse, text}]}]} -> name, chapter, verse, text."""
     schema = "name string, chapters array<struct<chapter:int,verses:array<struct<verse:int,text:string>>>>"

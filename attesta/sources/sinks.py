@@ -10,9 +10,15 @@ def canonical_json(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.orderBy(*keys).select(F.to_json(F.struct(*sorted(rows.columns))).alias("value"))
 
 
+def json_lines(rows: DataFrame, path: str, *keys) -> None:
+    """Canonical lines in the order of keys (names or Columns): gold sets, result rows, diagnostics, supplements."""
+    own = rows.select(F.to_json(F.struct(*sorted(rows.columns))).alias("value"), *[(F.col(k) if isinstance(k, str) else k).alias(f"_key{i}") for i, k in enumerate(keys)])
+    own.orderBy(*[f"_key{i}" for i in range(len(keys))]).select("value").write.text(path)
+
+
 def by_corpus(verdicts: DataFrame, path: str) -> None:
     """One folder per corpus; files sorted by item, reviewer and time."""
-    verdicts.repartition("corpus").sortWithinPartitions("item_id", "reviewer", "ts").write.mode("overwrite").partitionBy("corpus").json(path)
+    verdicts.repartition("corpus").sortWithinPartitions("corpus", "item_id", "reviewer", "ts").write.mode("overwrite").partitionBy("corpus").json(path)
 
 
 def append_cells(rows: DataFrame, path: str) -> None:
