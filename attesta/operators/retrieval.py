@@ -44,15 +44,26 @@ def top(scored: DataFrame, k: int, order: list, by: str = "item_id") -> DataFram
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _posted_once(units: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings of the terms, and of each unit one more with an empty token, which tells how many units there are and how
+    long they are: every text is cut once."""
+    own = analysed(units).select("id", "ord", "dl", F.explode(F.array_append("tokens", F.lit(""))).alias("token"))
+    asked = terms.select("token").union(terms.sparkSession.sql("select '' as token")).distinct()
+    return own.join(asked, "token", "left_semi").where("token is not null").groupBy("id", "ord", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def bm25(units: DataFrame, items: DataFrame, k: int = 5, *, padded: bool = False) -> DataFrame:
     """item_id, id, ord, score, rank: score descending, then corpus order. padded: items with fewer than k hits get
     the first units without a hit, with score 0."""
     terms = query_terms(items)
-    posted = postings(units, terms)
-    df = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    stats = F.broadcast(collection(units))  # one row
+    posted = _posted_once(units, terms)
+    # written so that all three uses of the postings read one shuffle: no filter or column is pushed into one of them
+    df = posted.groupBy("token").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"), F.sum("dl").alias("dls"))
+    whole = lambda c: F.max(F.when(F.col("token") == "", F.col(c)))
+    stats = df.agg(whole("df").alias("n"), (whole("dls") / whole("df")).alias("avgdl"))
+    stats = F.broadcast(stats.select("n", F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0).alias("avgdl")))  # one row
     part = idf(F.col("n"), F.col("df")) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * F.col("m")
-    hits = posted.join(terms, "token").join(df, "token").join(stats)
+    hits = posted.join(terms, "token").join(df.drop("dls"), "token").join(stats)
     scored = hits.groupBy("item_id", "id", "ord").agg(F.round(F.sum(part), 6).alias("score"))
     best = top(scored, k, [F.desc("score"), "ord"])
     if padded:
