@@ -40,23 +40,53 @@ def double_rated(ratings: DataFrame, value: str = "value") -> DataFrame:
     return own.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("group", "unit"))).where("m >= 2")
 
 
-def alpha(ratings: DataFrame, distance) -> DataFrame:
-    """Krippendorff's alpha per group, for any distance(a, b) of values: values and counts are paired, never raters."""
-    own = double_rated(ratings)
+def _alpha(own: DataFrame, distance, expected: DataFrame) -> DataFrame:
+    """Alpha from ratings of units with two or more and from the disagreement `de` to expect of each group. Only values
+    of one unit are paired here."""
     unit = own.groupBy("group", "unit", "m", "value").agg(F.count(F.lit(1)).alias("c"))
     a, b = unit.select("group", "unit", "m", F.col("value").alias("x"), F.col("c").alias("cx")), unit.select("group", "unit", F.col("value").alias("y"), F.col("c").alias("cy"))
     d = F.col("cx") * F.col("cy") * distance(F.col("x"), F.col("y"))
     observed = a.join(b, ["group", "unit"]).groupBy("group").agg(F.sum(d / (F.col("m") - 1)).alias("do"))
-    pool = own.groupBy("group", "value").agg(F.count(F.lit(1)).alias("c"))
-    p, q = pool.select("group", F.col("value").alias("x"), F.col("c").alias("cx")), pool.select("group", F.col("value").alias("y"), F.col("c").alias("cy"))
-    expected = p.join(q, "group").groupBy("group").agg(F.sum(d).alias("de"))
     n = own.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     value = 1 - (F.col("do") / F.col("n")) / (F.col("de") / (F.col("n") * (F.col("n") - 1)))
     return n.join(observed, "group").join(expected, "group").select("group", "n", F.when((F.col("n") >= 2) & (F.col("de") > 0), value).alias("alpha"))
 
 
+def alpha(ratings: DataFrame, distance) -> DataFrame:
+    """Krippendorff's alpha per group, for any distance(a, b) of values: values and counts are paired, never raters. All
+    different values of a group meet; for values of many kinds see `nominal_alpha` and `masi_alpha`."""
+    own = double_rated(ratings)
+    pool = own.groupBy("group", "value").agg(F.count(F.lit(1)).alias("c"))
+    p, q = pool.select("group", F.col("value").alias("x"), F.col("c").alias("cx")), pool.select("group", F.col("value").alias("y"), F.col("c").alias("cy"))
+    expected = p.join(q, "group").groupBy("group").agg(F.sum(F.col("cx") * F.col("cy") * distance(F.col("x"), F.col("y"))).alias("de"))
+    return _alpha(own, distance, expected)
+
+
+def _apart(own: DataFrame) -> DataFrame:
+    """group, de: ordered pairs of ratings with different values, from counts alone."""
+    pool = own.groupBy("group", "value").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    return pool.groupBy("group").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("de"))
+
+
+def nominal_alpha(ratings: DataFrame) -> DataFrame:
+    """Alpha of values that are alike or not; no two values of a group are paired."""
+    own = double_rated(ratings)
+    return _alpha(own, lambda a, b: F.when(a == b, 0.0).otherwise(1.0), _apart(own))
+
+
 def masi_alpha(ratings: DataFrame) -> DataFrame:
-    return alpha(ratings, masi_distance)
+    """Alpha of sets under MASI. Sets without a common element disagree wholly and equal ones not at all, so that only
+    different sets that share an element meet, by a join on elements. An element that most sets hold still brings all
+    of them together."""
+    own = double_rated(ratings).withColumn("value", F.array_sort(F.array_distinct("value")))
+    pool = own.groupBy("group", "value").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    each = pool.select("group", "value", "c", F.explode("value").alias("e"))
+    a, b = each.select("group", "e", F.col("value").alias("x"), F.col("c").alias("cx")), each.select("group", "e", F.col("value").alias("y"), F.col("c").alias("cy"))
+    both = a.join(b, ["group", "e"]).where("x < y").groupBy("group", "x", "y", "cx", "cy").agg(F.count(F.lit(1)).alias("both"))
+    like = F.col("both") / (F.size("x") + F.size("y") - F.col("both")) * F.when(F.col("both") == F.least(F.size("x"), F.size("y")), 2.0 / 3).otherwise(1.0 / 3)
+    like = both.groupBy("group").agg(F.sum(2 * F.col("cx") * F.col("cy") * like).alias("like"))
+    expected = _apart(own).join(like, "group", "left").select("group", (F.col("de") - F.coalesce("like", F.lit(0.0))).alias("de"))
+    return _alpha(own, masi_distance, expected)
 
 
 def cohen(ratings: DataFrame) -> DataFrame:

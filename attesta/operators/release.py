@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def not_allowed(rows: DataFrame, column: str, allowed: list[str]) -> DataFrame:
@@ -26,11 +26,28 @@ def manifest(rows: DataFrame) -> DataFrame:
     return rows.rollup("lang").agg(F.count(F.lit(1)).alias("units"), F.sum("n_chars").alias("chars"), F.count_distinct("source").alias("sources"), F.grouping("lang").cast("long").alias("total"))
 
 
+def _hashed(x: str) -> Column:
+    """Hash of the hashes h of structs (o, h), in their order."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(x)), lambda y: y["h"]), "\n"), 256)
+
+
+def _hashes(order: str, text: str) -> Column:
+    return F.struct(F.col(order).alias("o"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("h")).alias("x")
+
+
 def version(rows: DataFrame, group: str, order: str, text: str) -> DataFrame:
-    """Content version of a group: hash of its rows' hashes in order. Only hashes are gathered."""
-    own = rows.select(group, F.struct(F.col(order).alias("o"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("h")).alias("x"))
-    listed = F.transform(F.array_sort(F.collect_list("x")), lambda x: x["h"])
-    return own.groupBy(group).agg(F.sha2(F.array_join(listed, "\n"), 256).alias("version"))
+    """Content version of a group: hash of its rows' hashes in order. Only hashes are gathered, all of a group at one
+    place; see `ranged_version` for groups that are too large for that."""
+    return rows.select(group, _hashes(order, text)).groupBy(group).agg(_hashed("x").alias("version"))
+
+
+def ranged_version(rows: DataFrame, group: str, order: str, text: str, span: int = 65_536) -> DataFrame:
+    """Content version of a group of any size, whose `order` is a whole number: each `span` numbers are a range with a
+    version of its own, and the group's is the hash of its ranges' versions in order. One place gathers the hashes of a
+    range, or one hash for each range. Rows without a number come first, as a range."""
+    least = F.col(order) - F.pmod(F.col(order), F.lit(span))
+    parts = rows.select(group, least.alias("o"), _hashes(order, text)).groupBy(group, "o").agg(_hashed("x").alias("h"))
+    return parts.select(group, F.struct("o", "h").alias("x")).groupBy(group).agg(F.count(F.lit(1)).alias("ranges"), _hashed("x").alias("version"))
 
 
 def assert_clean(rows: DataFrame, what: str) -> None:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from attesta.functions.text import tokens
 
 K1, B, RRF = 1.5, 0.75, 60
+#: Queries with vectors that one pass sends to every task: some 16 MB at 1,024 dimensions.
+BLOCK = 4096
 
 
 def analysed(units: DataFrame) -> DataFrame:
@@ -80,12 +84,17 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
     """item_id, id, score, rank over vectors (id, embedding) for queries (item_id, embedding): exact inner products of
-    a stated query set against all rows; a partition keeps its k best of each query before anything is shuffled."""
-    scored = vectors.join(queries.withColumnRenamed("embedding", "q"), F.col("item_id").isNotNull())
-    scored = scored.select("item_id", "id", F.round(dot(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return top(scored, k, [F.desc("score"), "id"]).select("item_id", "id", "score", F.col("rank").cast("int").alias("rank"))
+    a stated query set against all rows. Queries are counted and go in blocks of some `block`, each of which is sent to
+    every task and reads the vectors once; a partition keeps its k best of each query before anything is shuffled."""
+    asked = queries.where(F.col("item_id").isNotNull()).withColumnRenamed("embedding", "q")
+    blocks = max(1, -(-asked.count() // block))
+    parts = [asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == at) for at in range(blocks)] if blocks > 1 else [asked]
+    score = F.round(dot(F.col("embedding"), F.col("q")), 6).alias("score")
+    # `block` bounds the side that is sent
+    best = [top(vectors.join(F.broadcast(part)).select("item_id", "id", score), k, [F.desc("score"), "id"]) for part in parts]
+    return reduce(DataFrame.unionByName, best).select("item_id", "id", "score", F.col("rank").cast("int").alias("rank"))
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
@@ -126,9 +135,9 @@ def recall_at(hits: DataFrame, ks=(5, 10, 20, 50)) -> DataFrame:
 
 
 def upper_median(hits: DataFrame) -> DataFrame:
-    """The middle rank found, the upper of two."""
-    found = F.array_sort(F.collect_list("hit_rank"))
-    return hits.agg(F.count("hit_rank").alias("n_found"), F.try_element_at(found, (F.floor(F.size(found) / 2) + 1).cast("int")).alias("median_rank"))
+    """The middle rank found, the upper of two; counts of ranks are merged, never a list of all."""
+    middle = F.expr("percentile_disc(0.5) within group (order by hit_rank desc)")
+    return hits.agg(F.count("hit_rank").alias("n_found"), middle.cast("int").alias("median_rank"))
 
 
 def ndcg_at(ranked: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:

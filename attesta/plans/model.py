@@ -19,13 +19,13 @@ def items(spark, sf):
 
 
 def gold(spark, sf):
-    """item_id, id: units that hold an item's text. Three inner words of the item and of the unit are joined, then the
-    whole text is compared; items of fewer words are compared with every unit."""
+    """item_id, id: units that hold an item's text. Hashes of three inner words of the item and of the unit are joined,
+    then the whole text is compared; items of fewer words are compared with every unit."""
     own = items(spark, sf).withColumn("w", F.split("text", r"\s+"))
     long_, short = own.where(F.size("w") >= 5), own.where(F.size("w") < 5)
-    anchored = long_.select("item_id", F.col("text").alias("asked"), F.concat_ws(" ", F.slice("w", 2, 3)).alias("anchor"))
+    anchored = long_.select("item_id", F.col("text").alias("asked"), F.xxhash64(*[F.get("w", F.lit(i)) for i in (1, 2, 3)]).alias("anchor"))
     docs = units(spark, sf).select("id", "text", F.split("text", r"\s+").alias("w"))
-    grams = docs.where(F.size("w") >= 3).select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.concat_ws(" ", F.slice("w", i, F.lit(3)))))).alias("anchor"))
+    grams = docs.where(F.size("w") >= 3).select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))))).alias("anchor"))
     near = grams.join(anchored, "anchor").select("item_id", "id", "asked").distinct()
     found = near.join(units(spark, sf).select("id", "text"), "id").where(F.contains("text", F.col("asked"))).select("item_id", "id")
     rest = units(spark, sf).select("id", "text").join(short.select("item_id", F.col("text").alias("asked")), F.contains("text", F.col("asked"))).select("item_id", "id")

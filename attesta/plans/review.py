@@ -90,6 +90,28 @@ def krippendorff_alpha(spark, sf):
     return own.select(F.col("group").alias("corpus"), "n", F.round("alpha", 6).alias("alpha"))
 
 
+SQL_SETS = """rt AS (SELECT event_type AS grp, json_extract_string(props, '$.k') AS unit,
+  list_sort(list_distinct(list_filter([user_id % 3, 1 + event_id % 2, 2 + (user_id + event_id) % 3], lambda x: event_id % 11 <> 0))) AS value FROM events),
+ra AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY grp, unit) AS m FROM rt) WHERE m >= 2),
+vc AS (SELECT grp, unit, m, value, count(*) AS c FROM ra GROUP BY ALL),
+po AS (SELECT grp, value, count(*) AS c FROM ra GROUP BY ALL),
+both_ AS (SELECT a.value AS x, b.value AS y, CAST(len(list_intersect(a.value, b.value)) AS DOUBLE) AS i, len(list_distinct(list_concat(a.value, b.value))) AS u
+  FROM (SELECT DISTINCT value FROM po) a, (SELECT DISTINCT value FROM po) b),
+di AS (SELECT x, y, CASE WHEN x = y THEN 0.0 WHEN i = least(len(x), len(y)) THEN 1 - i / u * 2 / 3 ELSE 1 - i / u / 3 END AS d FROM both_),
+ob AS (SELECT a.grp, sum(a.c * b.c * di.d / (a.m - 1)) AS d FROM vc a JOIN vc b ON a.grp = b.grp AND a.unit = b.unit JOIN di ON x = a.value AND y = b.value GROUP BY 1),
+ex AS (SELECT a.grp, sum(a.c * b.c * di.d) AS d FROM po a JOIN po b ON a.grp = b.grp JOIN di ON x = a.value AND y = b.value GROUP BY 1),
+nn AS (SELECT grp, count(*) AS n FROM ra GROUP BY 1)"""
+
+
+@query(f"WITH {SQL_SETS} SELECT nn.grp AS event_type, n, round(CASE WHEN ex.d > 0 THEN 1 - (ob.d / n) / (ex.d / (CAST(n AS DOUBLE) * (n - 1))) END, 6) AS alpha FROM nn JOIN ob ON ob.grp = nn.grp JOIN ex ON ex.grp = nn.grp")
+def masi_alpha_sets(spark, sf):
+    """Alpha over sets of none to three elements: each event is a rating of the item that its props name."""
+    u, e = F.col("user_id"), F.col("event_id")
+    value = F.filter(F.array(u % 3, 1 + e % 2, 2 + (u + e) % 3), lambda x: e % 11 != 0)
+    own = load(spark, sf, "events").select(F.col("event_type").alias("group"), F.get_json_object("props", "$.k").alias("unit"), e.alias("rater"), value.alias("value"))
+    return A.masi_alpha(own).select(F.col("group").alias("event_type"), "n", F.round("alpha", 6).alias("alpha"))
+
+
 @query(f"WITH {SQL_LATEST}, k AS (SELECT corpus, item_id, coalesce(max(i_type), 'unknown') AS question_type, count(*) AS n FROM eff GROUP BY 1, 2) SELECT corpus, question_type, count(*) AS n_items, count(*) FILTER (n >= 2) AS n_double, CAST(max(n) AS BIGINT) AS max_raters FROM k GROUP BY GROUPING SETS ((), (corpus), (question_type))")
 def agreement_grouping_sets(spark, sf):
     k = _labels(spark, sf).groupBy("corpus", "item_id").agg(F.coalesce(F.max("i_type"), F.lit("unknown")).alias("question_type"), F.count(F.lit(1)).alias("n"))
@@ -241,6 +263,12 @@ def content_version(spark, sf):
     return release.version(load(spark, sf, "documents"), "lang", "doc_id", "text")
 
 
+@query("""WITH p AS (SELECT lang, doc_id - doc_id % 64 AS o, sha256(string_agg(sha256(coalesce(text, '')), chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY 1, 2)
+SELECT lang, count(*) AS ranges, sha256(string_agg(h, chr(10) ORDER BY o)) AS version FROM p GROUP BY 1""")
+def content_version_ranges(spark, sf):
+    return release.ranged_version(load(spark, sf, "documents"), "lang", "doc_id", "text", 64)
+
+
 @query("SELECT lang, count(*) AS n FROM documents WHERE lang IN ('fr', 'de') AND coalesce(trim(text), '') <> '' GROUP BY 1 HAVING count(*) > 0")
 def no_text_rule(spark, sf):
     return release.must_be_blank(load(spark, sf, "documents"), "lang", ["fr", "de"], "text")

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,6 +32,23 @@ def test_alpha_masi(spark, units, want):
     assert A.alpha(ratings(spark, units, "array<string>"), masi_distance).first()["alpha"] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_alphas_without_pairs_of_all_values(spark, seed):
+    own = random.Random(seed)
+    sets = [[sorted(own.sample("pqrst", own.randrange(4))) for _ in range(own.randrange(1, 5))] for _ in range(12)]
+    rated = ratings(spark, sets, "array<string>")
+    assert A.masi_alpha(rated).first()["alpha"] == pytest.approx(A.alpha(rated, masi_distance).first()["alpha"])
+    words = ratings(spark, [["".join(x) for x in unit] for unit in sets])
+    assert A.nominal_alpha(words).first()["alpha"] == pytest.approx(A.alpha(words, nominal).first()["alpha"])
+
+
+def test_alphas_undefined_or_of_shuffled_sets(spark):
+    assert A.masi_alpha(ratings(spark, [[["a", "b"], ["b", "a", "a"]], [["b", "a"], ["a", "b"]]], "array<string>")).first()["alpha"] is None
+    assert A.masi_alpha(ratings(spark, [[[], []], [["a"], ["a"]]], "array<string>")).first()["alpha"] == pytest.approx(1)
+    assert A.nominal_alpha(ratings(spark, [["A", "A"]])).first()["alpha"] is None
+    assert A.nominal_alpha(ratings(spark, [["A"]])).count() == 0
+
+
 @pytest.mark.parametrize("units,want", [(["yy", "yy", "yy", "yn", "ny", "nn"], 0.25), (["aa", "bb", "aa", "bb"], 1)])
 def test_cohen(spark, units, want):
     assert A.cohen(ratings(spark, [list(u) for u in units])).first()["kappa"] == pytest.approx(want)

@@ -68,3 +68,22 @@ def test_readers(spark):
     answers = spark.createDataFrame([(1, True, "x", ["a"]), (2, False, "x", ["a"]), (3, True, " ", []), (4, True, "text", []), (5, None, None, None)], "item_id long, answerable boolean, answer string, citations array<string>")
     got = {r["item_id"]: (r["cited"], r["abstained"]) for r in readers.decide(answers).collect()}
     assert got == {1: (["a"], False), 2: ([], True), 3: ([], True), 4: ([], False), 5: ([], True)}
+
+
+@pytest.mark.parametrize("block", [1, 3, 100])
+def test_dense_in_blocks(spark, block):
+    own = {i: [float(i % 3), float(i % 5)] for i in range(20)}
+    vectors = spark.createDataFrame(list(own.items()), "id long, embedding array<double>")
+    queries = spark.createDataFrame([*[(i, own[i]) for i in range(0, 20, 4)], (None, [1.0, 1.0])], "item_id long, embedding array<double>")
+    got = {(r["item_id"], r["rank"]): (r["id"], r["score"]) for r in R.dense(vectors, queries, 3, block).collect()}
+    want = {}
+    for q in range(0, 20, 4):
+        each = sorted(((sum(a * b for a, b in zip(own[q], v)), i) for i, v in own.items()), key=lambda x: (-x[0], x[1]))
+        want |= {(q, n + 1): (i, s) for n, (s, i) in enumerate(each[:3])}
+    assert got == want
+
+
+@pytest.mark.parametrize("ranks,want", [([1, 2, 3, 4], 3), ([5, 1, 1], 1), ([None, 7], 7), ([None], None)])
+def test_upper_median(spark, ranks, want):
+    row = R.upper_median(spark.createDataFrame([(r,) for r in ranks], "hit_rank int")).first()
+    assert (row["n_found"], row["median_rank"]) == (sum(r is not None for r in ranks), want)
