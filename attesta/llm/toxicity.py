@@ -12,16 +12,18 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from attesta.llm.common import durable
 
-#: At most so many labelled documents are learned from, and so many features kept, those that most toxic documents have.
-SAMPLE, FEATURES = 20_000, 200_000
+#: At most so many labelled documents are learned from.
+SAMPLE = 20_000
+#: Evidence to learn the last step from is weighed by what the other folds' documents say.
+FOLDS = 5
 #: Word beginnings that count as features besides the whole word.
 PREFIXES = range(3, 9)
 #: Letters a character may stand for, besides itself.
@@ -163,8 +165,8 @@ class Judge:
         return got
 
     def evidence(self, text: str) -> list[float]:
-        """Largest weight, sum of weights, weights above 3 and above 6 (as logarithms of counts), share of words with
-        weight."""
+        """Largest weight, mean of the next three, words with weights above 2, 3, 4 and 6 (as logarithms of counts), share
+        of the text's words that all weights make up, and words of the text (as a logarithm)."""
         low = text.lower()
         found = low.split()
         each = [e for e in map(self.token, set(found)) if e > 0]
@@ -175,9 +177,9 @@ class Judge:
         return [
             high[0] if high else 0.0,
             sum(high[1:4]) / 3,
-            math.log1p(sum(e > 3 for e in high)),
-            math.log1p(sum(e > 6 for e in high)),
+            *[math.log1p(sum(e > least for e in high)) for least in (2, 3, 4, 6)],
             math.log1p(sum(high)) - math.log1p(len(found)),
+            math.log1p(len(found)),
         ]
 
 
@@ -217,55 +219,59 @@ def train(docs: DataFrame, labels: DataFrame):
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # SAMPLE bounds the side that is sent to every executor
-    cell = (2 * F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)) + F.when(F.col("toxic") > 0, 1).otherwise(0)).cast("int")
+    cell = (2 * F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(FOLDS)) + F.when(F.col("toxic") > 0, 1).otherwise(0)).cast("int")
     sample = durable(own.join(F.broadcast(known), "doc_id").select(cell.alias("cell"), F.coalesce("text", F.lit("")).alias("text")), "labelled")
     n = {r["cell"]: r["n"] for r in sample.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sizes = [n.get(c, 0) for c in range(4)]
-    if not sizes[0] + sizes[2] or not sizes[1] + sizes[3]:
+    sizes = [n.get(c, 0) for c in range(2 * FOLDS)]
+    if not sum(sizes[::2]) or not sum(sizes[1::2]):
         return None
-    toxic = _count(sample.where("cell in (1, 3)"), None).where("c1 + c3 >= 3")
-    toxic = toxic.orderBy(F.desc(F.col("c1") + F.col("c3")), "feature").limit(FEATURES).collect()
-    wanted = frozenset(r["feature"] for r in toxic)
-    clean = {r["feature"]: r for r in _count(sample.where("cell in (0, 2)"), wanted).collect()}
-    rows = []
-    for r in toxic:
-        c = clean.get(r["feature"])
-        rows.append((r["feature"], c["c0"] if c else 0, r["c1"], c["c2"] if c else 0, r["c3"]))
+    every = tuple(range(FOLDS))
+    used = [every, *[tuple(f for f in every if f != out) for out in every]]
+    rows = _count(sample).where(reduce(Column.__or__, [_telling(sizes, folds) for folds in used])).collect()
     language = Language({r["gram"]: r["n"] for r in _grams(own).collect()})
-    halves = [_weights(rows, sizes, (1 - f,)) for f in (0, 1)]
+    others = [_weights(rows, sizes, folds) for folds in used[1:]]
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judges = [Judge(w, language) for w in halves]
+        judges = [Judge(w, language) for w in others]
         for batch in batches:
             got = [[float(c & 1), *judges[c >> 1].evidence(x)] for c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(got, type=pa.list_(pa.float64()))], names=["x"])
 
     seen = np.asarray([r["x"] for r in sample.mapInArrow(weigh, "x array<double>").collect()])
-    return _weights(rows, sizes, (0, 1)), language, logistic(seen[:, 1:], seen[:, 0])
+    return _weights(rows, sizes, every), language, logistic(seen[:, 1:], seen[:, 0])
 
 
-def _count(sample: DataFrame, wanted: frozenset | None) -> DataFrame:
-    """feature, c0..c3: labelled documents of each cell (2 * half + label) that have a feature."""
+def _telling(sizes: list[int], folds: tuple[int, ...]) -> Column:
+    """Whether `_weights` may keep a feature over these folds: the same rule, with room for rounding."""
+    clean, tox = (reduce(Column.__add__, [F.col(f"c{2 * f + t}") for f in folds]) for t in (0, 1))
+    n = [sum(sizes[2 * f + t] for f in folds) for t in (0, 1)]
+    return (tox >= 3) & ((tox + 0.5) / (n[1] + 1) > 2.7 * (clean + 0.5) / (n[0] + 1))
+
+
+def _count(sample: DataFrame) -> DataFrame:
+    """feature, c0, c1, ...: labelled documents of each cell (2 * fold + label) that have a feature."""
+    cells = [f"c{c}" for c in range(2 * FOLDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[int]] = {}
 
         def out():
-            columns = [pa.array(found, type=pa.string()), *[pa.array([c[i] for c in found.values()], type=pa.int64()) for i in range(4)]]
-            return pa.RecordBatch.from_arrays(columns, names=["feature", "c0", "c1", "c2", "c3"])
+            columns = [pa.array(found, type=pa.string()), *[pa.array([c[i] for c in found.values()], type=pa.int64()) for i in range(2 * FOLDS)]]
+            return pa.RecordBatch.from_arrays(columns, names=["feature", *cells])
 
         for batch in batches:
             for c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = {f for w in plain_words(x) for f in features(w)}
-                for f in own if wanted is None else own & wanted:
-                    found.setdefault(f, [0] * 4)[c] += 1
-                if len(found) > 1_000_000:
+                for f in {f for w in plain_words(x) for f in features(w)}:
+                    if f not in found:
+                        found[f] = [0] * (2 * FOLDS)
+                    found[f][c] += 1
+                if len(found) > 300_000:
                     yield out()
                     found.clear()
         yield out()
 
-    counted = sample.mapInArrow(run, "feature string, c0 long, c1 long, c2 long, c3 long")
-    return counted.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "c2", "c3")])
+    counted = sample.mapInArrow(run, ", ".join(["feature string", *[f"{c} long" for c in cells]]))
+    return counted.groupBy("feature").agg(*[F.sum(c).alias(c) for c in cells])
 
 
 def _grams(docs: DataFrame) -> DataFrame:

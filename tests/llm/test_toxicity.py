@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -103,3 +104,13 @@ def test_evidence_against_plain_counts(spark, docs, rows):
                 counts[g] = counts.get(g, 0) + 1
     plain = T.Language(counts)
     assert plain.log.keys() == language.log.keys() and all(abs(plain.log[g] - language.log[g]) < 1e-9 for g in plain.log)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data here")
+def test_held_out_recall(spark):
+    """Some held-out toxic documents hold no word with weight and can't be found."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
+    held = labels.where("crc32(cast(doc_id as string)) % 3 = 1").select("doc_id", "toxic")
+    got = T.score(docs, T.train_rows(labels)).join(held, "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("share")).collect()
+    share = {r["toxic"]: r["share"] for r in got}
+    assert share[1] >= 0.9 and share[0] < 0.005
