@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from attesta.functions.text import tokens
+from attesta.operators.best import Best
 
 K1, B, RRF = 1.5, 0.75, 60
-#: Queries with vectors that one pass sends to every task: some 16 MB at 1,024 dimensions.
+#: Queries that one group holds: some 32 MB of vectors at 1,024 dimensions.
 BLOCK = 4096
+#: Scores that a task holds at once, of 8 bytes each.
+CELLS = 1 << 21
 
 
 def analysed(units: DataFrame) -> DataFrame:
@@ -48,35 +55,112 @@ def top(scored: DataFrame, k: int, order: list, by: str = "item_id") -> DataFram
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _posted_once(units: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings of the terms, and of each unit one more with an empty token, which tells how many units there are and how
-    long they are: every text is cut once."""
-    own = analysed(units).select("id", "ord", "dl", F.explode(F.array_append("tokens", F.lit(""))).alias("token"))
-    asked = terms.select("token").union(terms.sparkSession.sql("select '' as token")).distinct()
-    return own.join(asked, "token", "left_semi").where("token is not null").groupBy("id", "ord", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+def _dealt(n: int, size: int) -> int:
+    """How many blocks of about `size` hold n rows."""
+    return max(1, -(-n // size))
+
+
+def _block(key: str, blocks: int):
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+
 
+def _to_all(d: DataFrame, name: str, blocks: int) -> DataFrame:
+    """Each row once for every block."""
+    return d.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
-def bm25(units: DataFrame, items: DataFrame, k: int = 5, *, padded: bool = False) -> DataFrame:
+
+def _posted_once(units: DataFrame, terms: DataFrame, blocks: int) -> DataFrame:
+    """Postings of the terms by block of units, and of each unit one more with an empty token, which tells how many units
+    there are and how long they are: every text is cut once, and what is counted lies where its block is scored."""
+    own = analysed(units).select(_block("id", blocks).alias("block"), "id", "ord", "dl", F.explode(F.array_append("tokens", F.lit(""))).alias("token"))
+    asked = terms.select("token").union(terms.sparkSession.sql("select '' as token")).distinct()
+    own = own.join(asked, "token", "left_semi").where("token is not null").select("block", "id", "ord", "dl", "token")
+    return own.repartition("block").groupBy("block", "id", "ord", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _starts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where runs of equal pairs begin, and the end."""
+    return np.concatenate(([0], np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1, [a.size]))
+
+
+def _lexical(schema: pa.Schema, k: int):
+    """Units of a block (id, ord, dl, token, tf) against terms of a block of items (item_id, token, m, idf, avgdl)."""
+
+    def run(posted: pa.Table, terms: pa.Table) -> pa.Table:
+        if not posted.num_rows or not terms.num_rows:
+            return schema.empty_table()
+        names, asked = (pc.dictionary_encode(terms.column(c).combine_chunks(), null_encoding="encode") for c in ("item_id", "token"))
+        term = asked.indices.to_numpy()
+        by_term = np.argsort(term, kind="stable")
+        item = names.indices.to_numpy()[by_term]
+        weight = (terms.column("idf").to_numpy() * terms.column("m").to_numpy())[by_term]
+        begin = np.searchsorted(term[by_term], np.arange(len(asked.dictionary) + 1))
+        avgdl = terms.column("avgdl")[0].as_py()
+
+        found = pc.index_in(posted.column("token").combine_chunks(), value_set=asked.dictionary)
+        posted = posted.append_column("term", found).filter(pc.is_valid(found)).sort_by([("ord", "ascending"), ("id", "ascending")])
+        if not posted.num_rows:
+            return schema.empty_table()
+        row_of = _starts(*(pc.dictionary_encode(posted.column(c).combine_chunks(), null_encoding="encode").indices.to_numpy() for c in ("ord", "id")))
+        unit = np.repeat(np.arange(row_of.size - 1), np.diff(row_of))
+        tf, dl = (posted.column(c).to_numpy().astype(np.float64) for c in ("tf", "dl"))
+        share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+        at = posted.column("term").to_numpy()
+        uses = np.diff(begin)[at]
+        best, n_items = Best(len(names.dictionary), k), len(names.dictionary)
+        ends = uses.cumsum()
+        start, step = 0, max(1, CELLS // n_items)
+        while start < row_of.size - 1:
+            first = row_of[start]
+            # units whose scores, and the products behind them, fit the room
+            stop = min(start + step, int(np.searchsorted(ends[row_of[1:] - 1], (ends[first - 1] if first else 0) + CELLS, side="right")))
+            stop = max(stop, start + 1)
+            last = row_of[stop]
+            n = uses[first:last]
+            of = np.repeat(np.arange(first, last), n)
+            entry = np.arange(of.size) - np.repeat(n.cumsum() - n, n) + begin[at[of]]
+            cell = item[entry].astype(np.int64) * (stop - start) + unit[of] - start
+            scores = np.bincount(cell, weights=weight[entry] * share[of], minlength=n_items * (stop - start)).reshape(n_items, -1)
+            scores = np.where(scores > 0, scores, -np.inf)  # every part is above 0
+            q, x = best.may_enter(scores)
+            hit = scores[q, x] > 0
+            best.add(q[hit], x[hit] + start, scores[q[hit], x[hit]])
+            start = stop
+        own = posted.select(["id", "ord"]).take(row_of[best.place])
+        return pa.Table.from_arrays([names.dictionary.take(best.query), own.column("id"), own.column("ord"), pa.array(best.score)], schema=schema)
+
+    return run
+
+
+def bm25(units: DataFrame, items: DataFrame, k: int = 5, *, padded: bool = False, size: int = 4096, block: int = BLOCK) -> DataFrame:
     """item_id, id, ord, score, rank: score descending, then corpus order. padded: items with fewer than k hits get
-    the first units without a hit, with score 0."""
+    the first units without a hit, with score 0. Units are dealt into blocks of about `size`, items into blocks of about
+    `block`; each block of units is scored against each of items and passes on k units of an item."""
+    many, few = _dealt(units.count(), size), _dealt(items.count(), block)
     terms = query_terms(items)
-    posted = _posted_once(units, terms)
-    # written so that all three uses of the postings read one shuffle: no filter or column is pushed into one of them
+    posted = _posted_once(units, terms, many)
+    # written so that all uses of the postings read one shuffle, and those of df one count: no filter or column is pushed
+    # into one of them
     df = posted.groupBy("token").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"), F.sum("dl").alias("dls"))
     whole = lambda c: F.max(F.when(F.col("token") == "", F.col(c)))
     stats = df.agg(whole("df").alias("n"), (whole("dls") / whole("df")).alias("avgdl"))
     stats = F.broadcast(stats.select("n", F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0).alias("avgdl")))  # one row
-    part = idf(F.col("n"), F.col("df")) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * F.col("m")
-    hits = posted.join(terms, "token").join(df.drop("dls"), "token").join(stats)
-    scored = hits.groupBy("item_id", "id", "ord").agg(F.round(F.sum(part), 6).alias("score"))
-    best = top(scored, k, [F.desc("score"), "ord"])
+    asked = terms.join(df.where("dls >= 0"), "token").join(stats).select("item_id", "token", "m", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
+    schema = items.select("item_id").schema.add("id", units.schema["id"].dataType).add("ord", units.schema["ord"].dataType).add("score", "double")
+    run = _lexical(to_arrow_schema(schema), k)
+    if few > 1:
+        posted, asked, key = _to_all(posted, "of", few), asked.withColumn("of", _block("item_id", few)), ["block", "of"]
+    else:
+        key = ["block"]
+    scored = posted.groupBy(*key).cogroup(_to_all(asked, "block", many).groupBy(*key)).applyInArrow(run, schema)
+    scored = scored.withColumn("score", F.round("score", 6))
     if padded:
-        # k units without a hit are among the first k plus as many as there are hits; only items short of hits ask
-        short = items.select("item_id").join(best.groupBy("item_id").agg(F.count(F.lit(1)).alias("hits")), "item_id", "left").where(F.coalesce("hits", F.lit(0)) < k)
+        # k units without a hit are among the first k plus as many as there are hits; one that is a hit keeps its score
         first = units.select("id", "ord").orderBy("ord").limit(2 * k)
-        fill = short.select("item_id").join(F.broadcast(first)).join(best.select("item_id", "id"), ["item_id", "id"], "left_anti")
-        fill = fill.select("item_id", "id", "ord", F.lit(0.0).alias("score"))
-        best = top(best.drop("rank").unionByName(fill), k, [F.desc("score"), "ord"])
+        fill = items.select("item_id").join(F.broadcast(first)).withColumn("score", F.lit(0.0))
+        scored = top(scored, k, [F.desc("score"), "ord"]).drop("rank").unionByName(fill)
+        scored = scored.groupBy("item_id", "id", "ord").agg(F.max("score").alias("score"))
+    best = top(scored, k, [F.desc("score"), "ord"])
     return best.select("item_id", "id", "ord", "score", F.col("rank").cast("int").alias("rank"))
 
 
