@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -168,17 +166,83 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products along the last axis, added up from the first component to the last."""
+    out = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]))
+    for i in range(a.shape[-1]):
+        out = out + a[..., i] * b[..., i]
+    return out
+
+
+def _matrices(vectors: pa.ChunkedArray):
+    """(places, matrix of doubles) of the vectors of each length without null components; other places are in none."""
+    own = pa.concat_arrays([c.cast(pa.large_list(pa.float64())) for c in vectors.chunks]) if vectors.num_chunks else pa.array([], pa.large_list(pa.float64()))
+    sizes = pc.fill_null(pc.list_value_length(own), -1).to_numpy(zero_copy_only=False)
+    holed = np.zeros(len(own), dtype=bool)
+    if own.flatten().null_count:
+        holed[pc.list_parent_indices(own).filter(pc.is_null(own.flatten())).to_numpy()] = True
+    for size in np.unique(sizes[(sizes >= 0) & ~holed]):
+        at = np.flatnonzero((sizes == size) & ~holed)
+        yield int(size), at, own.take(pa.array(at)).flatten().to_numpy().reshape(at.size, int(size))
+
+
+def _inner(schema: pa.Schema, k: int):
+    """Vectors of a block (id, embedding) against a block of queries (item_id, q)."""
+
+    def run(vectors: pa.Table, asked: pa.Table) -> pa.Table:
+        vectors = vectors.sort_by("id")
+        n = asked.num_rows
+        found, told = [], np.zeros(n, dtype=np.int64)
+        rows = {size: (at, m) for size, at, m in _matrices(vectors.column("embedding"))}
+        for size, places, queries in _matrices(asked.column("q")):
+            if size not in rows:
+                continue
+            at, m = rows[size]
+            with np.errstate(all="ignore"):
+                long = np.sqrt((m * m).sum(axis=1))
+                odd = np.flatnonzero(~(long < 1e100))
+                longest = long[long < 1e100].max(initial=0.0)
+            step = max(1, CELLS // at.size)
+            for begin in range(0, places.size, step):
+                q = queries[begin : begin + step]
+                with np.errstate(all="ignore"):
+                    scores = q @ m.T
+                    own = np.sqrt((q * q).sum(axis=1))
+                    strange = np.flatnonzero(~(own < 1e100))
+                    scores[:, odd] = _in_order(q[:, None, :], m[None, odd, :])
+                    scores[strange] = _in_order(q[strange, None, :], m[None, :, :])
+                    slack = np.where(own < 1e100, 2.0**-50 * (size + 1) * own * longest, 0.0)
+                    best = Best(q.shape[0], k)
+                    a, b = best.may_enter(scores, slack)
+                    best.add(a, b, _in_order(q[a], m[b]))
+                found.append((places[begin + best.query], at[best.place], best.score, np.ones(best.query.size, dtype=bool)))
+                told[places[begin : begin + q.shape[0]]] = np.bincount(best.query, minlength=q.shape[0])
+        # vectors that a query can't be compared with have no score, and come after those that have one
+        for i in np.flatnonzero(told < min(k, vectors.num_rows)):
+            known = np.concatenate([y[x == i] for x, y, _, _ in found] or [np.empty(0, dtype=np.int64)])
+            rest = np.setdiff1d(np.arange(min(vectors.num_rows, 2 * k)), known)[: k - told[i]]
+            found.append((np.full(rest.size, i), rest, np.zeros(rest.size), np.zeros(rest.size, dtype=bool)))
+        if not found:
+            return schema.empty_table()
+        query, place, score, scored = (np.concatenate(x) for x in zip(*found))
+        return pa.Table.from_arrays([asked.column("item_id").take(query), vectors.column("id").take(place), pa.array(score, mask=~scored)], schema=schema)
+
+    return run
+
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK, size: int = 8192) -> DataFrame:
     """item_id, id, score, rank over vectors (id, embedding) for queries (item_id, embedding): exact inner products of
-    a stated query set against all rows. Queries are counted and go in blocks of some `block`, each of which is sent to
-    every task and reads the vectors once; a partition keeps its k best of each query before anything is shuffled."""
-    asked = queries.where(F.col("item_id").isNotNull()).withColumnRenamed("embedding", "q")
-    blocks = max(1, -(-asked.count() // block))
-    parts = [asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == at) for at in range(blocks)] if blocks > 1 else [asked]
-    score = F.round(dot(F.col("embedding"), F.col("q")), 6).alias("score")
-    # `block` bounds the side that is sent
-    best = [top(vectors.join(F.broadcast(part)).select("item_id", "id", score), k, [F.desc("score"), "id"]) for part in parts]
-    return reduce(DataFrame.unionByName, best).select("item_id", "id", "score", F.col("rank").cast("int").alias("rank"))
+    a stated query set against all rows. Vectors are dealt into blocks of about `size`, queries into blocks of about
+    `block`; each block of vectors meets each of queries and passes on k vectors of a query. What matrix products
+    leave as candidates is added up in order, as one would by hand."""
+    asked = queries.where(F.col("item_id").isNotNull()).select("item_id", F.col("embedding").alias("q"))
+    many, few = _dealt(vectors.count(), size), _dealt(asked.count(), block)
+    schema = asked.select("item_id").schema.add("id", vectors.schema["id"].dataType).add("score", "double")
+    left = _to_all(vectors.select("id", "embedding", _block("id", many).alias("block")), "of", few)
+    right = _to_all(asked.withColumn("of", _block("item_id", few)), "block", many)
+    best = left.groupBy("block", "of").cogroup(right.groupBy("block", "of")).applyInArrow(_inner(to_arrow_schema(schema), k), schema)
+    best = top(best.withColumn("score", F.round("score", 6)), k, [F.desc("score"), "id"])
+    return best.select("item_id", "id", "score", F.col("rank").cast("int").alias("rank"))
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The best rows of each query, kept in tasks: BM25 without a row per item and unit."""
+"""The best rows of each query, kept in tasks: BM25 without a row per item and unit, inner products by blocks."""
 
 import math
 import random
@@ -7,6 +7,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from attesta.operators import retrieval as R
 from attesta.operators.best import Best, rounded
 
@@ -62,3 +64,20 @@ def test_bm25_passes_on_k_units_of_an_item(spark):
     assert own.count() == 40
     plan = own._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"keys=\[item_id#\w+, id#", plan)
+
+
+@pytest.mark.parametrize("size,block", [(3, 2), (1000, 1000)])
+def test_dense_as_the_plain_product(spark, size, block):
+    """Nulls, holes, other lengths, values beyond numbers, ties within the sixth digit: as the expression over all pairs."""
+    rng = random.Random(4)
+    rows = [(i, [rng.choice([0.1, -0.7, 1e-4, 3.0]) for _ in range(5)]) for i in range(30)]
+    rows += [(i, rows[3][1]) for i in range(30, 40)] + [(40, None), (41, [1.0, None, 0.0, 0.0, 2.0]), (42, [1.0]), (43, []), (44, [math.nan, 0, 0, 0, 0.0]), (45, [math.inf, 0, 0, 0, 1.0]), (46, [1e160] * 5)]
+    rows = [(i, v if v is None else [x if x is None else float(x) for x in v]) for i, v in rows]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<double>")
+    queries = vectors.where("id % 4 = 0 or id > 38").selectExpr("id as item_id", "embedding")
+    got = R.dense(vectors, queries, 6, block, size)
+    pairs = vectors.crossJoin(queries.withColumnRenamed("embedding", "q")).select("item_id", "id", F.round(R.dot(F.col("embedding"), F.col("q")), 6).alias("score"))
+    want = R.top(pairs, 6, [F.desc("score"), "id"]).select("item_id", "id", "score", "rank")
+    rows_of = lambda d: sorted(str(tuple(r)) for r in d.collect())
+    assert rows_of(got) == rows_of(want)
+    assert "BroadcastNestedLoopJoin" not in got._jdf.queryExecution().executedPlan().toString()
