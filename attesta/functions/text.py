@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html.entities
+from collections.abc import Mapping
 
 from pyspark.sql import Column, functions as F
 
@@ -82,10 +83,19 @@ def wikitext(text: Column) -> Column:
     return collapse(unescape(F.regexp_replace(F.regexp_replace(bare, "'{2,}", ""), r"<[^<>]++>", " ")))
 
 
-def strip_tags(html: Column) -> Column:
-    """Text of an HTML fragment: scripts and styles go with their content, other tags become spaces."""
+def listed(text: Column, entities: Mapping[str, str]) -> Column:
+    """Only these references resolved, as they are written, ampersands last: "&amp" in a text that was cut stays."""
+    for name, char in sorted(entities.items(), key=lambda e: e[1] == "&"):
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
+def strip_tags(html: Column, entities: Mapping[str, str] | None = None) -> Column:
+    """Text of an HTML fragment: scripts and styles go with their content, other tags become spaces. References are
+    resolved as HTML 5 does, or only those of `entities`."""
     bare = F.regexp_replace(html, r"(?is)<(script|style|sup)[^>]*>.*?</(script|style|sup)>", " ")
-    return collapse(unescape(F.regexp_replace(bare, r"(?s)<[^>]+>", " ")))
+    bare = F.regexp_replace(bare, r"(?s)<[^>]+>", " ")
+    return collapse(unescape(bare) if entities is None else listed(bare, entities))
 
 
 def blocks(html: Column, tag: str) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from attesta.functions.text import blocks, strip_tags
 
 
-def html_blocks(pages: DataFrame, tag: str) -> DataFrame:
-    """page_id, pos, text of every non-blank <tag>, in order."""
+def html_blocks(pages: DataFrame, tag: str, entities: Mapping[str, str] | None = None) -> DataFrame:
+    """page_id, pos, text of every non-blank <tag>, in order; entities as in `strip_tags`."""
     own = pages.select("page_id", F.posexplode(blocks(F.col("html"), tag)).alias("pos", "raw"))
-    return own.select("page_id", F.col("pos").cast("long").alias("pos"), strip_tags(F.col("raw")).alias("text")).where("text is not null")
+    return own.select("page_id", F.col("pos").cast("long").alias("pos"), strip_tags(F.col("raw"), entities).alias("text")).where("text is not null")
 
 
 def numbered(lines: Column) -> Column:

@@ -108,3 +108,17 @@ def test_stream(spark, tmp_path):
     q = stream.upsert(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert [r["status"] for r in stream.current(spark, str(tmp_path / "out")).collect()] == ["approve"]
+
+
+def test_page_queries_resolve_what_their_sql_resolves(spark, tmp_path):
+    import duckdb
+
+    from attesta.plans import extraction
+
+    rows = [(1, "<title>a &amp;&amp;&amp</title><p>b &amp</p><li>c &eacute; &amp;lt; &ltx</li>"), (2, "<p>&copy 1 &copy; &#39;&#x27;</p>"), (3, None), (4, "<li>&nbsp;</li>")]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("html_text_clean", "html_paragraphs", "html_list_items"):
+        want = con.execute(extraction.SQL[name]).fetchall()
+        assert sorted(map(tuple, extraction.QUERIES[name](spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
