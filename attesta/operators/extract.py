@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import unicodedata
 from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
@@ -139,6 +140,13 @@ def gaps(rows: DataFrame, group: str, number: str) -> DataFrame:
     return own.select(group, F.size("s").cast("long").alias("present"), F.array_join(lost.cast("array<string>"), ",").alias("missing")).where("missing <> ''")
 
 
+@functools.cache
+def _marked() -> tuple[str, str]:
+    """Characters that are one of a to z with marks, and those letters."""
+    own = [(chr(i), next((x for x in unicodedata.normalize("NFD", chr(i)) if "a" <= x <= "z"), "")) for i in range(128, 0x110000) if unicodedata.decomposition(chr(i))]
+    return "".join(c for c, x in own if x), "".join(x for _, x in own if x)
+
+
 def skeleton(text: pd.Series) -> pd.Series:
     """The letters a to z without marks and h, m as n, runs squeezed: spellings of one word in different romanisations
     agree."""
@@ -146,14 +154,24 @@ def skeleton(text: pd.Series) -> pd.Series:
     return plain.str.replace("m", "n").str.replace(r"(.)\1+", r"\1", regex=True)
 
 
+def signature(text: Column) -> Column:
+    """`skeleton` as an expression: texts don't pass through Python."""
+    marked, plain = _marked()
+    low = F.lower(F.coalesce(text, F.lit("")))
+    bare = F.when(F.octet_length(low) > F.length(low), F.translate(low, marked, plain)).otherwise(low)
+    return F.regexp_replace(F.replace(F.regexp_replace(bare, "[^a-gi-z]++", ""), F.lit("m"), F.lit("n")), r"(.)\1++", "$1")
+
+
 def signed(lines: DataFrame) -> DataFrame:
     """Lines (group, ord, text) as group, ord, sig, as columns of their own: both editions may come from one table."""
-    return lines.select(F.col("group").alias("group"), F.col("ord").alias("ord"), F.pandas_udf(skeleton, "string")(F.col("text").cast("string")).alias("sig"))
+    return lines.select(F.col("group").alias("group"), F.col("ord").alias("ord"), signature(F.col("text").cast("string")).alias("sig"))
 
 
 def anchors(left: DataFrame, right: DataFrame) -> DataFrame:
     """group, l, r: lines (group, ord, sig) whose signatures stand once on each side, kept where r rises."""
-    once = lambda d, name: d.where("sig <> ''").groupBy("group", "sig").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias(name)).where("n = 1").drop("n")
+    # signatures of long lines go by their digests; blank ones are left out after the count, so that each is made once
+    digest = F.coalesce(F.sha2("sig", 256), F.lit(""))
+    once = lambda d, name: d.groupBy("group", digest.alias("sig")).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias(name), F.max(F.length("sig")).alias("_n")).where("n = 1 and _n > 0").select("group", "sig", name)
     pairs = once(left, "l").join(once(right, "r"), ["group", "sig"])
     # the largest r so far, carried within ranges of l and then from range to range
     own = pairs.withColumn("_b", ranges(pairs, "l")(F.col("l")))

@@ -122,3 +122,18 @@ def test_page_queries_resolve_what_their_sql_resolves(spark, tmp_path):
     for name in ("html_text_clean", "html_paragraphs", "html_list_items"):
         want = con.execute(extraction.SQL[name]).fetchall()
         assert sorted(map(tuple, extraction.QUERIES[name](spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
+
+
+def test_skeletons_stay_out_of_python(spark):
+    """Long lines don't pass through Python workers, and letters lose their marks as in NFD."""
+    import re
+    import unicodedata
+
+    chars = "".join(chr(i) for i in range(32, 0x3000)) + "\u212a\u212b\U0001d15e"
+    texts = ["Kṛṣṇa uvāca", "aammnn hh Ħh", *["x".join(chars[i : i + 40]) for i in range(0, len(chars), 40)], None]
+    lines = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "ord long, text string").selectExpr("'g' as group", "ord", "text")
+    got = {r["ord"]: r["sig"] for r in extract.signed(lines).collect()}
+    for i, t in enumerate(texts):
+        plain = re.sub("[^a-z]|h", "", unicodedata.normalize("NFD", (t or "").lower())).replace("m", "n")
+        assert got[i] == re.sub(r"(.)\1+", r"\1", plain), t
+    assert "Python" not in extract.signed(lines)._jdf.queryExecution().executedPlan().toString()
