@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
+KEPT = StorageLevel.MEMORY_AND_DISK
+
 
 def located(spans: DataFrame, units: DataFrame) -> DataFrame:
     """spans (item_id, corpus, id_start, id_end) with lo and hi, the places of their ends in units (corpus, id, ord), and
@@ -65,12 +68,13 @@ def score(cited: DataFrame, gold: DataFrame, units: DataFrame, *, tol: int = 0)
     def own(d: DataFrame) -> DataFrame:
         return located(d.select(*key, "id_start", "id_end").withColumn("id_end", F.coalesce("id_end", "id_start")).distinct(), units)
 
-    c, g = own(cited), own(gold)
+    # located and merged ranges are read by several steps and by the counts of sizes: kept, on disk where memory ends
+    c, g = own(cited).persist(KEPT), own(gold).persist(KEPT)
     named = lambda d, n: d.where("valid").withColumn(n, F.struct("id_start", "id_end")).select(*key, n, F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
     wide = named(c, "l").withColumns({"lo": F.col("lo") - tol, "hi": F.col("hi") + tol})
     met = overlaps(wide, named(g, "r"), key).groupBy("item_id").agg(F.count_distinct("corpus", "l").alias("hit_c"), F.count_distinct("corpus", "r").alias("hit_g"))
 
-    mc, mg = merged(named(c, "l"), key), merged(named(g, "r"), key)
+    mc, mg = merged(named(c, "l"), key).persist(KEPT), merged(named(g, "r"), key).persist(KEPT)
     both = overlaps(mc.withColumn("l", F.struct("lo", "hi")), mg.withColumn("r", F.struct("lo", "hi")), key)
     shared = both.groupBy("item_id").agg(F.sum(F.least("l.hi", "r.hi") - F.greatest("l.lo", "r.lo") + 1).alias("shared"))
     length = lambda d, n: d.groupBy("item_id").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias(n))

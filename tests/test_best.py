@@ -81,3 +81,14 @@ def test_dense_as_the_plain_product(spark, size, block):
     rows_of = lambda d: sorted(str(tuple(r)) for r in d.collect())
     assert rows_of(got) == rows_of(want)
     assert "BroadcastNestedLoopJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_located_spans_are_made_once(spark):
+    from attesta.operators import spans
+
+    rows = [(1, "c", "1", "3"), (1, "c", "5", None), (2, "c", "9", "2")]
+    lines = spark.createDataFrame(rows, "item_id long, corpus string, id_start string, id_end string")
+    units = spark.range(12).selectExpr("'c' as corpus", "cast(id as string) as id", "id as ord")
+    own = spans.score(lines, lines, units)
+    assert {r["item_id"]: (r["n_cited"], r["n_invalid"], r["f1"], r["unit_p"]) for r in own.collect()} == {1: (2, 0, 1.0, 1.0), 2: (1, 2, 0.0, None)}
+    assert "InMemoryRelation" in own._jdf.queryExecution().executedPlan().toString()
