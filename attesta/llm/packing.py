@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from attesta.llm.tokens import tokens
 
 #: A group's text, in bytes and documents: what one task holds at a time.
-GROUP_BYTES, GROUP_DOCS = 16 << 20, 8192
+GROUP_BYTES, GROUP_DOCS = 4 << 20, 8192
 
 
 class Tournament:
@@ -146,6 +146,7 @@ def pack(
                 for column, value in zip(out, row):
                     column.append(value)
                 at += m
+        pa.default_memory_pool().release_unused()  # of groups before: a worker is kept when its task ends
         return pa.table([pa.array(c, type=kind) for c, (_, kind) in zip(out, fields)], names=[k for k, _ in fields])
 
     return dealt.groupBy("grp").applyInArrow(run, schema)

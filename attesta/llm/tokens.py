@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
 #: Pieces kept in a worker's memory; beyond that the memory starts anew.
-MEMO = 600_000
+MEMO = 200_000
 
 
 class _Again(Exception):
@@ -32,10 +32,9 @@ class Tokens:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
+        self.path = path
         spec = json.load(open(path, encoding="utf-8"))
-        self.slow = Tokenizer.from_file(path)
         self.special = [t["content"] for t in spec.get("added_tokens", ())]
         chars = _byte_chars()
         ranks = {bytes(chars[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
@@ -44,6 +43,13 @@ class Tokens:
         self.newline_id = self.engine.encode_ordinary("\n")[0]
         self.spaced: dict[str, bytes] = {}
 
+    @cached_property
+    def slow(self):
+        """For texts with special strings; loaded when the first one comes."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _learn(self, pieces: list[str]) -> None:
         """Ids of many new pieces in one call: a newline before each keeps them apart, and no piece holds one."""
         if len(self.spaced) + len(pieces) > MEMO:

@@ -114,3 +114,34 @@ def test_held_out_recall(spark):
     got = T.score(docs, T.train_rows(labels)).join(held, "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("share")).collect()
     share = {r["toxic"]: r["share"] for r in got}
     assert share[1] >= 0.9 and share[0] < 0.005
+
+
+def test_what_a_worker_holds(spark, docs, rows, monkeypatch):
+    """Counted features are passed on before they are many, and texts come in few at a time where whole tables are read."""
+    import pyarrow as pa
+
+    held = []
+
+    class Frame:
+        def mapInArrow(self, run, schema):
+            words = [" ".join(f"{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + j // 26)}{chr(97 + j % 26)}zzzzz" for j in range(200)) for i in range(100)]
+            held.extend(b.num_rows for b in run(iter([pa.RecordBatch.from_pydict({"cell": [0] * 100, "text": words})])))
+            return self
+
+        def groupBy(self, *_):
+            return self
+
+        agg = groupBy
+
+    T._count(Frame())
+    assert len(held) > 1 and max(held) < 60_000
+    seen, durable = {}, T.durable
+
+    def spied(df, name):
+        seen[name] = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        return durable(df, name)
+
+    monkeypatch.setattr(T, "durable", spied)
+    known = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    assert T.score(docs(rows), known).count() == 400 and T.keep(docs(rows), known).count() == 320
+    assert seen["scores"] == seen["kept"] == T.ROWS
