@@ -163,7 +163,8 @@ def materialise(
     spark.createDataFrame([(total, stride, length, kind, shard_sequences, key)], "sequences long, stride long, length long, kind string, shard_sequences long, key string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
     # a row per group of GROUP_BYTES; past a million of them Spark joins by shuffle
     starts = F.broadcast(before) if size <= GROUP_BYTES * 1_000_000 else before
-    placed = made.join(starts, "grp").select(slot(F.col("before") + F.col("idx")).alias("slot"), "n_tokens", "ids", "doc_ids")
+    # called nondeterministic so that the filters on slots below don't compute them a second time
+    placed = made.join(starts, "grp").select(slot.asNondeterministic()(F.col("before") + F.col("idx")).alias("slot"), "n_tokens", "ids", "doc_ids")
     placed = placed.withColumn("shard", F.floor(F.col("slot") / shard_sequences))
     shards = -(-total // shard_sequences)
     wave = max(1, -(-shards // WAVES))

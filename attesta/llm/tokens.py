@@ -7,13 +7,6 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 
-#: Pieces kept in a worker's memory; beyond that the memory starts anew.
-MEMO = 200_000
-
-
-class _Again(Exception):
-    pass
-
 
 def _byte_chars() -> dict[str, int]:
     """Byte-level BPE writes printable bytes as themselves and the others, in order, as characters from 256 on."""
@@ -25,9 +18,7 @@ def _byte_chars() -> dict[str, int]:
 class Tokens:
     """encode(text) -> little-endian unsigned 32-bit ids as bytes.
 
-    Texts are cut at single spaces, where this kind of tokenizer always cuts as well, and each piece's ids are
-    remembered. Pieces that are new go through a merge engine over the same ranks; texts with runs of white space
-    or with special strings go through whole.
+    Texts go through a merge engine over the same ranks, whole; those with special strings through `tokenizers` itself.
     """
 
     def __init__(self, path: str):
@@ -40,8 +31,6 @@ class Tokens:
         ranks = {bytes(chars[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.engine = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.newline_id = self.engine.encode_ordinary("\n")[0]
-        self.spaced: dict[str, bytes] = {}
 
     @cached_property
     def slow(self):
@@ -50,49 +39,12 @@ class Tokens:
 
         return Tokenizer.from_file(self.path)
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of many new pieces in one call: a newline before each keeps them apart, and no piece holds one."""
-        if len(self.spaced) + len(pieces) > MEMO:
-            self.spaced.clear()
-        ids = np.asarray(self.engine.encode_ordinary("\n " + "\n ".join(pieces)), dtype="<u4")
-        cuts = np.flatnonzero(ids == self.newline_id)
-        raw, ends = ids.tobytes(), [*(cuts[1:] * 4).tolist(), ids.size * 4]
-        self.spaced.update(zip(pieces, [raw[a:b] for a, b in zip((cuts * 4 + 4).tolist(), ends)]))
-
-    def _pieces(self, pieces: list[str]) -> bytes:
-        new = set(pieces).difference(self.spaced)
-        if new:
-            if any(not p or p[0].isspace() for p in new):
-                raise _Again
-            broken = [p for p in new if "\n" in p]
-            if len(new) > MEMO // 2:
-                raise _Again
-            kept = [p for p in new if "\n" not in p]
-            if len(self.spaced) + len(kept) > MEMO:
-                self.spaced.clear()
-                kept = [p for p in set(pieces) if "\n" not in p]
-            if kept:
-                self._learn(kept)
-            if broken:
-                own = {p: self._ids(" " + p) for p in broken}
-                return b"".join([self.spaced[p] if p in self.spaced else own[p] for p in pieces])
-        return b"".join(map(self.spaced.__getitem__, pieces))
-
-    def _ids(self, text: str) -> bytes:
-        return np.asarray(self.engine.encode_ordinary(text), dtype="<u4").tobytes()
-
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if any(s in text for s in self.special):
             return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        head, *rest = text.split(" ")
-        if not head or head.isspace():
-            return self._ids(text)
-        try:
-            return self._ids(head) + self._pieces(rest)
-        except _Again:
-            return self._ids(text)
+        return np.asarray(self.engine.encode_ordinary(text), dtype="<u4").tobytes()
 
 
 @lru_cache(maxsize=2)

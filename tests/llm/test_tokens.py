@@ -99,3 +99,27 @@ def test_binary_round_trip(spark, docs, plain, odd, tmp_path):
     assert all((a == b).all() for a, b in zip(resumed, seqs[37:])) and len(resumed) == len(seqs) - 37
     assert sum(r["n_tokens"] for r in rows) == sum(len(plain(x or "")) + 1 for _, x in odd)
     assert binary_order.materialise(docs([]), tokenizer_path(), f"file://{tmp_path}/none").count() == 0
+
+
+def test_slots_are_computed_once(docs, monkeypatch, tmp_path):
+    """Filters on slots read the column, and don't call the permutation a second time."""
+    plans, plain = [], binary_order.durable
+
+    def durable(df, name, *rest):
+        if name == "order":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df, name, *rest)
+
+    monkeypatch.setattr(binary_order, "durable", durable)
+    rows = [(i, prose(300, i)) for i in range(20)]
+    binary_order.materialise(docs(rows), tokenizer_path(), f"file://{tmp_path}/s", length=64, shard_sequences=4)
+    assert plans and all(p.count("ArrowEvalPython") == 1 for p in plans)
+
+
+def test_ids_of_long_texts_keep_nothing(plain):
+    """A worker holds the tokenizer, and no pieces of the texts that have passed."""
+    t = Tokens(tokenizer_path())
+    held = {k: len(v) for k, v in vars(t).items() if hasattr(v, "__len__")}
+    for x in [prose(20_000, 5), " ".join(f"w{i}" for i in range(20_000)), "x" * 20_000, " " * 20_000 + "a"]:
+        assert np.frombuffer(t.encode(x), dtype="<u4").tolist() == plain(x)
+    assert held == {k: len(v) for k, v in vars(t).items() if hasattr(v, "__len__")}
