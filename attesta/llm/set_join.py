@@ -213,47 +213,51 @@ def shared(indexed: DataFrame) -> DataFrame:
 
 
 def rarest(rows: DataFrame, spare: dict[int, int]) -> DataFrame:
-    """key, node: without the keys of each set and band that most sets have, as many as linked sets share besides."""
+    """key, node, size: without the keys of each set and band that most sets have, as many as linked sets share besides."""
     most = F.dense_rank().over(Window.partitionBy("node", "band").orderBy(F.desc("n"), "key"))
     left = F.element_at(F.create_map(*[F.lit(x) for kv in spare.items() for x in kv]), F.col("band"))
-    return rows.withColumn("at", most).where(F.col("at") > left).select("key", "node")
+    return rows.withColumn("at", most).where(F.col("at") > left).select("key", "node", "size")
 
 
-def meetings(indexed: DataFrame) -> DataFrame:
-    """a, b, star: under each key that several sets have, every set b with the least one a (star), and with the one
-    before it in order.
+def meetings(indexed: DataFrame, percent: int) -> DataFrame:
+    """a, b, star, fit: under each key that several sets (key, node, size) have, every set b with the least one a (star),
+    and with the one before it in order; fit: by their sizes they may be linked.
 
-    Rows arrive sorted and stream through; what is held between batches is one row, however many a key has.
+    Rows arrive sorted and stream through; what is held between batches is two rows, however many a key has.
     """
-    names = ["a", "b", "star"]
+    names = ["a", "b", "star", "fit"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # key, its least node, and the node of the last row
+        held = None  # key, its least node and that one's size, node and size of the last row
         for batch in batches:
-            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            key, node, size = (batch.column(i).to_numpy() for i in range(3))
             if held is not None:
-                key, node = np.concatenate(([held[0]], key)), np.concatenate(([held[2]], node))
+                key, node, size = np.concatenate(([held[0]], key)), np.concatenate(([held[3]], node)), np.concatenate(([held[4]], size))
             fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
-            key, node = key[fresh], node[fresh]
+            key, node, size = key[fresh], node[fresh], size[fresh]
             if not key.size:
                 continue
             new = np.concatenate(([True], key[1:] != key[:-1]))
-            first = node[np.maximum.accumulate(np.where(new, np.arange(key.size), 0))]
+            begin = np.maximum.accumulate(np.where(new, np.arange(key.size), 0))
+            first, first_size = node[begin], size[begin]
             if held is not None:
-                first[: np.argmax(new[1:]) + 1 if new[1:].any() else key.size] = held[1]
+                same = np.argmax(new[1:]) + 1 if new[1:].any() else key.size
+                first[:same], first_size[:same] = held[1], held[2]
             at = np.flatnonzero(~new)
             if at.size:
                 least, last, own = first[at], node[at - 1], node[at]
                 apart = least != last
                 pairs = np.concatenate((least, last[apart])), np.concatenate((own, own[apart]))
+                sizes = np.concatenate((first_size[at], size[at - 1][apart])), np.concatenate((size[at], size[at][apart]))
+                fit = 100 * np.minimum(*sizes) >= percent * np.maximum(*sizes)
                 # near copies meet under many keys: what a batch repeats is given out once
                 order = np.lexsort(pairs)
-                x, y, star = pairs[0][order], pairs[1][order], order < at.size
+                x, y, star, fit = pairs[0][order], pairs[1][order], order < at.size, fit[order]
                 begin = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
-                yield pa.RecordBatch.from_arrays([pa.array(x[begin]), pa.array(y[begin]), pa.array(np.logical_or.reduceat(star, begin))], names=names)
-            held = (key[-1], first[-1], node[-1])
+                yield pa.RecordBatch.from_arrays([pa.array(x[begin]), pa.array(y[begin]), pa.array(np.logical_or.reduceat(star, begin)), pa.array(fit[begin])], names=names)
+            held = (key[-1], first[-1], first_size[-1], node[-1], size[-1])
 
-    return indexed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long, star boolean")
+    return indexed.select("key", "node", "size").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long, star boolean, fit boolean")
 
 
 def sets(docs: DataFrame, width: int) -> DataFrame:
@@ -301,12 +305,13 @@ class Join:
             self.profile = durable(profile(own, width, percent), "profile")
             deep = self._allocation()
             common = durable(shared(index(own, width, percent, deep)), "shared")
-            few = durable(rarest(common, {k: Bands(percent).layout(k)[1] - 1 for k in deep}) if deep else common, "rarest")
-            pairs = durable(meetings(few).groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
+            sizes = self.profile.where("node is not null").groupBy("node").agg(F.min("n_shingles").alias("n"))
+            # sizes come to keys, of which each set has so many, not to pairs
+            sized = common.join(sizes.toDF("node", "size"), "node")
+            few = durable(rarest(sized, {k: Bands(percent).layout(k)[1] - 1 for k in deep}) if deep else sized, "rarest")
+            pairs = durable(meetings(few, percent).groupBy("a", "b").agg(F.max("star").alias("star"), F.max("fit").alias("fit")), "pairs")
         release(common, few)
-        sizes = self.profile.where("node is not null").groupBy("node").agg(F.min("n_shingles").alias("n"))
-        near = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        near = durable(near.select("a", "b", "star"), "near")
+        near = pairs.where("fit").select("a", "b", "star")
         # a class's set is taken from one of its documents
         speaks = self.profile.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
@@ -330,7 +335,7 @@ class Join:
         self._tie(near_by)
         across = self._compare(self._unseen(self._across(prefixes), near))
         self._tie(across)
-        release(self.sets, near, pairs, first, rest, members, spare, prefixes, near_by, across)
+        release(self.sets, pairs, first, rest, members, spare, prefixes, near_by, across)
 
     def _tie(self, compared: DataFrame) -> None:
         """Joins the groups that links among compared pairs tie; only links between two groups are looked at."""

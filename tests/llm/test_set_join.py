@@ -89,3 +89,19 @@ def test_pigeonhole_with_allocation():
                 for s in {s, 0}:  # with fewer spare segments, neighbourhoods make up for the empty ones
                     deep = max(S.needed(x, k, h + c + s, c, s), S.needed(y, k, h + c + s, c, s))
                     assert np.intersect1d(S.keys(x, k, h + c + s, c, s, deep), S.keys(y, k, h + c + s, c, s, deep)).size >= c
+
+
+def test_sizes_come_to_keys(docs, monkeypatch):
+    """Pairs of near copies, of which each set has as many as keys, are told apart by size as they are made; no join has
+    all of them on one side to look their sizes up."""
+    plans, plain = {}, S.durable
+
+    def durable(df, name, *rest):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return plain(df, name, *rest)
+
+    monkeypatch.setattr(S, "durable", durable)
+    base = prose(120, 2)
+    rows = [(i, edited(base, 25 + i % 40, i)) for i in range(40)] + [(100 + i, base + " " + prose(60 + i, i)) for i in range(5)]
+    assert got(docs, rows, width=5, percent=80) == brute(rows, 5, 80)
+    assert "near" not in plans and "Join" not in plans["pairs"]
