@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Sequence
@@ -25,12 +26,25 @@ def _write(rows: DataFrame, path: str) -> None:
     rows.write.option("maxRecordsPerFile", ROWS).json(path)
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """path, bytes, sha256 of every data file; Spark's readers pass over those of 0 bytes, which the file system tells."""
+    own = files(spark, path).select("path", "bytes", "sha256")
+    fs, at = _at(spark, path)
+    root, empty, found = fs.makeQualified(at).toString().rstrip("/"), [], fs.listFiles(at, True)
+    while found.hasNext():
+        status = found.next()
+        name = status.getPath().toString()
+        if not status.getLen() and not any(x[:1] in "._" for x in name[len(root) + 1 :].split("/")):
+            empty.append((name, 0, hashlib.sha256(b"").hexdigest()))
+    return own.union(spark.createDataFrame(empty, "path string, bytes long, sha256 string"))
+
+
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """path (below the bundle), bytes, sha256, lines of every data file of a bundle, the manifest left out."""
     top = path.rstrip("/").rpartition("/")[2]
     below = lambda c: F.regexp_replace(c, rf"^.*/\Q{top}\E/", "")
     lines = spark.read.option("recursiveFileLookup", "true").text(path).groupBy(below(F.col("_metadata.file_path")).alias("path")).agg(F.count(F.lit(1)).alias("lines"))
-    own = files(spark, path).withColumn("path", below(F.col("path"))).join(lines, "path", "left").na.fill(0, ["lines"])
+    own = _files(spark, path).withColumn("path", below(F.col("path"))).join(lines, "path", "left").na.fill(0, ["lines"])
     return own.where(~F.startswith("path", F.lit("manifest/")))
 
 
@@ -41,7 +55,7 @@ def offences(spark: SparkSession, path: str, tokens: Sequence[str] = (), parts:
     lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("path"))
     said = release.forbidden(lines, ["value"], spelt).select("path", "found").distinct()
     top = path.rstrip("/").rpartition("/")[2]
-    below = files(spark, path).select("path", F.regexp_replace("path", rf"^.*/\Q{top}\E/", "").alias("below"))
+    below = _files(spark, path).select("path", F.regexp_replace("path", rf"^.*/\Q{top}\E/", "").alias("below"))
     named = release.forbidden_paths(below, "below", list(parts), list(folders)) if parts or folders else below.limit(0)
     return said.union(named.select("path", F.lit("name").alias("found")))
 

@@ -58,3 +58,14 @@ def test_differences(spark, tmp_path):
     gone.unlink()
     got = {(r["path"].split("/")[0], r["what"]) for r in bundle.differences(spark, at).collect()}
     assert got == {("units", "extra"), ("items", "changed"), ("units", "missing")}
+
+
+def test_empty_files(spark, tmp_path):
+    """A part of 0 bytes is in the manifest, so that it can be missing, changed or extra; its name is looked at, too."""
+    at = bundle.publish({"none": tables(spark)["units"].limit(0), **tables(spark)}, str(tmp_path), "v1")
+    part = next((tmp_path / "v1/none").glob("part-*"))
+    assert part.stat().st_size == 0 and bundle.differences(spark, at).count() == 0
+    part.rename(part.with_name("gold.json"))
+    got = {(r["path"], r["what"]) for r in bundle.differences(spark, at).collect()}
+    assert got == {(f"none/{part.name}", "missing"), ("none/gold.json", "extra")}
+    assert [(r["path"].rsplit("/", 1)[1], r["found"]) for r in bundle.offences(spark, at, parts=["gold"]).collect()] == [("gold.json", "name")]
